@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate
+from pyspark.sql import functions as F
+
+from tracelake.llm import decontaminate, topk
 from tracelake.llm.common import table
 
 
@@ -35,5 +37,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLE_SQL = {"op2_decontaminate": OP2_SQL}
+def op10_top_k(spark, sf_dir):
+    """Five best exact integer inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+QUERIES = {"op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+ORACLE_SQL = {"op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
