@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, topk
+from tracelake.llm import decontaminate, topk, warc
 from tracelake.llm.common import table
 
 
+def op1_warc(spark, sf_dir):
+    """Every page as a record of a WARC archive converted from ARC, read back."""
+    return warc.read_pages(warc.write_pages(table(spark, sf_dir, "pages"))).drop("url")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS b FROM p),
+e AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + 16 * CAST(substr(b, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(b, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(b, i * 5 + 3, 1) AS INT)
+        + 2 * CAST(substr(b, i * 5 + 4, 1) AS INT) + CAST(substr(b, i * 5 + 5, 1) AS INT) AS BIGINT), 1)), '') AS d FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d, n) AS first FROM e)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
 def op2_decontaminate(spark, sf_dir):
     """Word windows shared by documents and benchmark items, per document."""
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,5 +76,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
-ORACLE_SQL = {"op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
+QUERIES = {"op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
