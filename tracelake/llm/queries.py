@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, topk, warc
+from tracelake.llm import decontaminate, language, secrets, topk, warc
 from tracelake.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op5_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
+def op7_secrets(spark, sf_dir):
+    """Spans of secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark, sf_dir):
     """Five best exact integer inner products of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -82,5 +87,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+QUERIES = {"op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
