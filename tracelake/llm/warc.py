@@ -40,6 +40,8 @@ from tracelake.llm.common import shared_dir, written
 
 ARC_FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length")}
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tracelake:archive")
+#: Tasks that read archives; with more files a task reads several.
+MOST_READERS = 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -306,7 +308,8 @@ def read_pages(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.select("warc").repartition("warc").mapInArrow(run, _PAGE_SCHEMA)
+    # A stated number of partitions, as the adaptive planner would merge a list of paths into one task.
+    return files.select("warc").repartition(max(1, min(files.count(), MOST_READERS))).mapInArrow(run, _PAGE_SCHEMA)
 
 
 _PAGE_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
