@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, secrets, topk, warc
+from tracelake.llm import decontaminate, language, packing, secrets, topk, warc
 from tracelake.llm.common import table
 
 
@@ -56,6 +56,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+def op4_packing(spark, sf_dir):
+    """Every document's tokens in sequences of at most 1,024."""
+    return packing.pack_public(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark, sf_dir):
     """Predicted language of every document, learned from four fifths of them."""
     docs = table(spark, sf_dir, "documents")
@@ -87,5 +92,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+QUERIES = {"op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
