@@ -10,8 +10,8 @@ every score from both sides; once the bounds leave few rows for a query, only
 these boundary rows are resolved, by exact integer products. Nothing is
 estimated, so recall is 1.
 
-Every query block meets every candidate block by an equi-join on the query
-block's number; each meeting returns ``k`` rows a query at most.
+Every query block meets every candidate block by an equi-join on the numbers of
+both; each meeting returns ``k`` rows a query at most.
 
 Defined results: a vector that is null, empty or holds a null or non-finite
 component takes no part, nor one with a component beyond ``LARGEST`` (its
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 LARGEST = 2**26
 QUERY_BLOCK, ROW_BLOCK, TILE = 1024, 8192, 128
+MOST_TASKS = 20_000
 _BLOCK = "dim int, part long, ids binary, vectors binary"
 
 
@@ -140,10 +141,14 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, query_block: int = QUERY_
     # Sorted, so that a recomputed partition has the same blocks.
     queries = _blocks(usable.where(is_query).repartition("vec_id").sortWithinPartitions("vec_id", "v"), query_block)
     rows = _blocks(usable, row_block)
-    # One row per query block: the blocks' numbers are few, their vectors stay on the executors.
-    numbers = queries.groupBy("dim").agg(F.collect_set("part").alias("parts"))
-    right = queries.select("dim", "part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = rows.drop("part").join(numbers, "dim").withColumn("part", F.explode("parts")).drop("parts").join(right, ["dim", "part"])
+    # Numbers only: the blocks' vectors stay on the executors. Each pair of blocks is a key of its own, so none is hot.
+    query_parts = queries.groupBy("dim").agg(F.collect_set("part").alias("parts"))
+    row_parts = rows.groupBy("dim").agg(F.collect_set("part").alias("row_parts"))
+    pairs = query_parts.join(row_parts, "dim").agg(F.sum(F.size("parts").cast("long") * F.size("row_parts"))).first()[0] or 1
+    key, tasks = ["dim", "part", "row_part"], min(pairs, MOST_TASKS)
+    left = rows.withColumnRenamed("part", "row_part").join(query_parts, "dim").withColumn("part", F.explode("parts")).drop("parts")
+    right = queries.select("dim", "part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(row_parts, "dim").withColumn("row_part", F.explode("row_parts")).drop("row_parts")
+    met = left.repartition(tasks, *key).join(right.repartition(tasks, *key), key)
 
     def scored(batches):
         for batch in batches:
