@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, html, language, packing, secrets, topk, warc
+from tracelake.llm import decontaminate, html, language, packing, quality, secrets, topk, warc
 from tracelake.llm.common import table
 
 
@@ -77,6 +77,11 @@ def op8_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark, sf_dir):
+    """Quality of every document from weak labels and the scorer they train."""
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark, sf_dir):
     """Five best exact integer inner products of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -97,5 +102,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+QUERIES = {"op9_quality": op9_quality, "op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
