@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, html, language, packing, quality, secrets, topk, warc
+from tracelake.llm import decontaminate, html, language, nearcopies, packing, quality, secrets, topk, warc
 from tracelake.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op5_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
+def op6_near_copies(spark, sf_dir):
+    """Components of documents whose sets of three-word shingles are 85 % alike."""
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op7_secrets(spark, sf_dir):
     """Spans of secrets in every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -102,5 +107,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op9_quality": op9_quality, "op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+QUERIES = {"op6_near_copies": op6_near_copies, "op9_quality": op9_quality, "op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
