@@ -43,22 +43,22 @@ def _brute(rows, width, percent):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
-    return sorted((d is None, d, len(s), least.get(root(i), d)) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+    return sorted(((d is None, d, len(s), least.get(root(i), d)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
 def _run(spark, rows, width=3, percent=85, **k):
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, print string, n int").repartition(3)
-    return sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in nearcopies.find(docs, width, percent, **k).collect())
+    return sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in nearcopies.find(docs, width, percent, **k).collect()), key=str)
 
 
 def test_query_against_brute_force_over_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op6_near_copies(spark, SF).collect()
-    assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == _brute(rows, 3, 85)
+    assert sorted(((False, r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _brute(rows, 3, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("small_group", [0, 32])
+@pytest.mark.parametrize("small_group", [2, 32])
 def test_chains_and_groups_without_an_original(spark, small_group):
     r = np.random.default_rng(4)
     word = lambda: "".join(r.choice(list("abcdefghij"), 4))

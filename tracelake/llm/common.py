@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter by which rows that are surely not needed are skipped.
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A one-hash filter of ``FILTER_BITS`` bits over ids; its size does not depend on the data."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the one of MurmurHash3), on uint64 arrays."""
     x = x ^ (x >> np.uint64(33))

@@ -30,14 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mix64, slices, written
-from tracelake.llm.components import components
+from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
+from tracelake.llm.components import grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
-#: Groups up to this size compare all members of different components in one round.
-SMALL_GROUP = 32
-#: Bits of the filter by which texts that are surely not needed are skipped.
-FILTER_BITS = 1 << 23
 EMPTY = 0xFFFF
 _CHUNK = 1 << 22
 
@@ -183,18 +179,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A one-hash filter of ``FILTER_BITS`` bits over document ids; its size does not depend on the data."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """``v, shingles`` for the classes in ``needed`` (``doc_id, print, v``), from the texts."""
-    bits = _needed(needed)
+    bits = id_filter(needed, "doc_id")
 
     def run(batches):
         for batch in batches:
@@ -226,62 +213,25 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = SMALL_GROUP) -> DataFrame:
+def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = 32) -> DataFrame:
     """``doc_id, n_shingles, print, component_id`` of every document (``print`` names its set)."""
     signed = written(signatures(docs, width), "signatures")
     classes = written(
         signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("v", F.monotonically_increasing_id()),
         "classes",
     )
-    bands = _bands(classes)
-    groups = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(groups, "band"), "members")
-    weight = members.groupBy("v").agg(F.sum("size").alias("weight"))
-    members = written(members.join(weight, "v"), "weighted")
-    # A class may have no id at all; such a text is found by any of its rows.
-    none = F.lit(None).cast("long")
-    roots = None
-    links, compared = None, None
-    used = None
-    while True:
-        now = members if roots is None else members.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        now = now.withColumn("root", F.coalesce(F.col("root") if roots is not None else none, F.col("v")))
-        if used is not None:
-            now = now.join(used.withColumn("done", F.lit(True)), ["band", "v"], "left")
-        else:
-            now = now.withColumn("done", F.lit(None).cast("boolean"))
-        fresh = F.when(F.col("done").isNull(), F.struct("weight", (-F.col("v")).alias("minus")))
-        heads = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(fresh).alias("head")).where(F.col("low") < F.col("high")).where(F.col("head").isNotNull())
-        active = written(now.select("band", "v", "root", "size").join(heads.select("band", (-F.col("head.minus")).alias("centre")), "band"), "active")
-        if not active.take(1):
-            break
-        centred = active.where(F.col("size") > small_group) if roots is not None else active
-        roots_of = active.where(F.col("v") == F.col("centre")).select("band", F.col("root").alias("own"))
-        pairs = centred.join(roots_of, "band").where(F.col("root") != F.col("own")).select("centre", "v")
-        if roots is not None:
-            small = active.where(F.col("size") <= small_group)
-            other = small.select("band", F.col("v").alias("w"), F.col("root").alias("root_w"))
-            across = small.join(other, "band").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")))
-            pairs = pairs.union(across.select("v", "w"))
-        pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        # Later, all small groups are exhausted at once, larger ones by their centre.
-        finished = centred.where(F.col("v") == F.col("centre")).select("band", "v")
-        if roots is not None:
-            finished = finished.union(active.where(F.col("size") <= small_group).select("band", "v"))
-        used = written(finished if used is None else used.union(finished), "used")
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
+
+    def confirm(pairs):
         likely = written(_plausible(pairs, classes, percent), "plausible")
         ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
         needed = written(classes.select("doc_id", "print", "v").join(ends, "v", "left_semi"), "needed")
-        # Sorted by one end, so that its set is decoded once for the pairs of a batch.
-        found = written(_links(likely, written(_sets(docs, needed, width), "sets"), percent), "links")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
+        return _links(likely, written(_sets(docs, needed, width), "sets"), percent)
+
+    bands = _bands(classes).withColumnRenamed("band", "meet")
+    shared = bands.groupBy("meet").agg(F.count("*").alias("size")).where("size > 1").select("meet")
+    roots = grouped_components(written(bands.join(shared, "meet"), "members"), confirm, small_group)
     vertex = classes.select("print", "doc_id", "v")
-    rooted = vertex.withColumn("root", F.col("v")) if roots is None else vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = written(rooted.select("print", "doc_id", "root"), "rooted")
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root").select("print", "component_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, html, language, nearcopies, packing, quality, secrets, topk, warc
+from tracelake.llm import decontaminate, html, language, lines, nearcopies, packing, quality, secrets, topk, warc
 from tracelake.llm.common import table
 
 
@@ -56,6 +56,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+def op3_line_dedup(spark, sf_dir):
+    """Lines of every document that repeat others, up to two edits, and where those are."""
+    return lines.summary(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     """Every document's tokens in sequences of at most 1,024."""
     return packing.pack_public(table(spark, sf_dir, "documents"))
@@ -107,5 +112,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-QUERIES = {"op6_near_copies": op6_near_copies, "op9_quality": op9_quality, "op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op6_near_copies": op6_near_copies, "op9_quality": op9_quality, "op8_html": op8_html, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op5_language": op5_language, "op1_warc": op1_warc, "op10_top_k": op10_top_k, "op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op10_top_k": OP10_SQL, "op2_decontaminate": OP2_SQL}
