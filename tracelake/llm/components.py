@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import written
+from tracelake.llm.common import shared_dir, written
+
+SMALL_GROUP, CENTRES = 512, 128
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -45,45 +47,54 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def grouped_components(members: DataFrame, confirm, small_group: int = 32) -> DataFrame:
+def grouped_components(members: DataFrame, confirm, may_link, small_group: int = SMALL_GROUP, centres: int = CENTRES) -> DataFrame:
     """``node, root`` of the links that ``confirm`` finds between members of one group.
 
-    ``members`` (``meet, v``, a written table) says which nodes meet in which groups;
-    ``confirm`` takes pairs ``a, b`` and returns those that are links. No group's
+    ``members`` (``meet, v, n``, a written table) says which nodes meet in which groups,
+    and gives each a size; ``may_link`` is a cheap predicate on two sizes, ``confirm``
+    takes pairs ``a, b`` and returns those that are links. No group's
     pairs are all listed: first every member is compared with the group's centre,
     which is the member that meets most others. Where a group still holds several
     components, small groups compare members across components and larger ones
-    take their next member as centre, round after round, until no group has an
+    take their next ``centres`` members as centres, round after round, until no group has an
     uncompared pair across components; so the components are those of all links.
     """
     sizes = members.groupBy("meet").agg(F.count("*").alias("size"))
     sized = members.join(sizes, "meet")
     members = written(sized.join(sized.groupBy("v").agg(F.sum("size").alias("weight")), "v"), "weighted")
-    roots = links = compared = used = None
+    roots = compared = used = None
+    spark, seen, linked = members.sparkSession, [], []
+
+    def stored(df, paths):
+        paths.append(shared_dir(spark, "round"))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
     while True:
         now = members.withColumn("root", F.col("v")) if roots is None else members.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
         now = now.withColumn("done", F.lit(False)) if used is None else now.join(used.withColumn("done", F.lit(True)), ["meet", "v"], "left")
-        fresh = F.when(~F.coalesce("done", F.lit(False)), F.struct("weight", (-F.col("v")).alias("minus")))
-        heads = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(fresh).alias("head")).where((F.col("low") < F.col("high")) & F.col("head").isNotNull())
-        active = written(now.select("meet", "v", "root", "size").join(heads.select("meet", (-F.col("head.minus")).alias("centre")), "meet"), "active")
+        fresh = ~F.coalesce("done", F.lit(False))
+        heads = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(fresh).alias("fresh")).where((F.col("low") < F.col("high")) & (F.col("fresh") > 0))
+        active = written(now.select("meet", "v", "n", "root", "size", "weight", fresh.alias("fresh")).join(heads.select("meet"), "meet"), "active")
         if not active.take(1):
             return roots if roots is not None else active.select(F.col("v").alias("node"), "root")
-        # In the first round every group has its centre; later, small groups are exhausted at once.
-        centred = active.where(F.col("size") > small_group) if roots is not None else active
-        own = active.where(F.col("v") == F.col("centre")).select("meet", F.col("root").alias("own"))
-        pairs = centred.join(own, "meet").where(F.col("root") != F.col("own")).select("centre", "v")
-        finished = centred.where(F.col("v") == F.col("centre")).select("meet", "v")
+        # In the first round every group has one centre; later, small groups are exhausted at once and larger ones take several.
+        large, most = (active, 1) if roots is None else (active.where(F.col("size") > small_group), centres)
+        order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
+        heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("n").alias("m"))
+        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("n"), F.col("m"))).select("centre", "v")
+        finished = heads.select("meet", F.col("centre").alias("v"))
         if roots is not None:
             small = active.where(F.col("size") <= small_group)
-            other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"))
-            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w"))).select("v", "w"))
+            other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("n").alias("m"))
+            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("n"), F.col("m"))).select("v", "w"))
             finished = finished.union(small.select("meet", "v"))
         pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
+        # Earlier rounds are read again as files, so that plans do not grow with the rounds.
+        pairs = stored(pairs, seen)
+        compared = spark.read.parquet(*seen)
         used = written(finished.distinct() if used is None else used.union(finished).distinct(), "used")
-        found = written(confirm(pairs), "links")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
+        if stored(confirm(pairs), linked).take(1) or roots is None:
+            roots = written(components(spark.read.parquet(*linked)), "roots")

@@ -138,14 +138,14 @@ def line_ids(lines: list[str]) -> tuple[np.ndarray, "Hashes | None"]:
     return h.of(h.start, h.length), h
 
 
-def _keys(h: Hashes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(key, line id)`` of every segment filed and every substring looked up."""
+def _keys(h: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, index of the line)`` of every segment filed and every substring looked up."""
     keys, owners = [], []
 
     def add(which, start, size, length, number):
         key = h.of(h.start[which] + start, size) * _K2 + (length.astype(np.uint64) * np.uint64(8) + np.uint64(number)) * _K3
         keys.append(mix64(key))
-        owners.append(ids[which])
+        owners.append(which)
 
     for t in range(1, MOST_EDITS + 1):
         for gap in range(t + 1):
@@ -162,7 +162,7 @@ def _keys(h: Hashes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     add(which[fits], (start + shift)[fits], size[fits], short[fits], k)
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def _texts(batch) -> tuple[list[str], list[int], list[int]]:
@@ -178,17 +178,17 @@ def _texts(batch) -> tuple[list[str], list[int], list[int]]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``meet, v`` rows: once for each distinct line of a batch."""
+    """``meet, v, n`` rows: once for each distinct line of a batch."""
 
     def run(batches):
         for batch in batches:
             lines = list(dict.fromkeys(_texts(batch)[0]))
             for lo, hi in slices([len(x) for x in lines], _CHUNK):
                 ids, h = line_ids(lines[lo:hi])
-                meet, v = _keys(h, ids)
-                yield pa.RecordBatch.from_pydict({"meet": meet, "v": v})
+                meet, which = _keys(h)
+                yield pa.RecordBatch.from_pydict({"meet": meet, "v": ids.view(np.int64)[which], "n": h.length[which].astype(np.int32)})
 
-    return docs.select("text").mapInArrow(run, "meet long, v long")
+    return docs.select("text").mapInArrow(run, "meet long, v long, n int")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -251,8 +251,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # One sort by key: a row stays if its neighbour under the same key is another line.
     near = _signed(docs).withColumn("before", F.lag("v").over(w)).withColumn("after", F.lead("v").over(w))
     other = (F.col("before") != F.col("v")) | (F.col("after") != F.col("v"))
-    members = written(near.where(other).select("meet", "v").distinct(), "members")
-    roots = grouped_components(members, _confirm(docs))
+    members = written(near.where(other).select("meet", "v", "n").distinct(), "members")
+    roots = grouped_components(members, _confirm(docs), lambda a, b: F.abs(a - b) <= MOST_EDITS)
     found = written(_occurrences(docs), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line")
     distinct = found.groupBy("v", "w").agg(F.min(place).alias("first")).join(roots.select(F.col("node").alias("v"), "root"), "v", "left")

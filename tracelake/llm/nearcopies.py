@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
-from tracelake.llm.components import grouped_components
+from tracelake.llm.components import SMALL_GROUP, grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
 EMPTY = 0xFFFF
@@ -125,14 +125,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b) -> tuple[np.ndarray, np.nda
     return (same - chance) / n, np.sqrt(0.16 / n)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A key for each band that is not all empty."""
+def band_keys(registers: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Keys of the bands that are not all empty.
+
+    A band with an empty register says little, so its key also holds the set's
+    size: linked sets lie in one or two neighbouring classes of size, and each
+    such band is filed under both.
+    """
     bands = registers.reshape(-1, ROWS)
     packed = np.zeros(len(bands), np.uint64)
     for i in range(ROWS):
         packed |= bands[:, i].astype(np.uint64) << np.uint64(16 * i)
     keys = mix64(packed * _KEYS[3] + np.arange(len(bands), dtype=np.uint64) * _KEYS[4])
-    return keys[(bands != EMPTY).any(1)].view(np.int64)
+    empty = (bands == EMPTY).sum(1)
+    size = int(np.log(n) / np.log(100 / percent)) if percent < 100 else n
+    weak = keys[(empty > 0) & (empty < ROWS)]
+    return np.concatenate([keys[empty == 0], mix64(weak + np.uint64(size) * _KEYS[7]), mix64(weak + np.uint64(size + 1) * _KEYS[7])]).view(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
@@ -152,21 +160,21 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column("registers").to_pylist()]
-            v = batch.column("v").to_numpy()
-            yield pa.RecordBatch.from_pydict({"band": np.concatenate(keys) if keys else np.zeros(0, np.int64), "v": np.repeat(v, [len(k) for k in keys])})
+            n = batch.column("n").to_pylist()
+            keys = [band_keys(np.frombuffer(r, np.uint16), m, percent) for r, m in zip(batch.column("registers").to_pylist(), n)]
+            counts = [len(k) for k in keys]
+            yield pa.RecordBatch.from_pydict({"meet": np.concatenate(keys) if keys else np.zeros(0, np.int64), "v": np.repeat(batch.column("v").to_numpy(), counts), "n": np.repeat(np.array(n, np.int64), counts)})
 
-    return classes.select("v", "registers").mapInArrow(run, "band long, v long")
+    return classes.select("v", "n", "registers").mapInArrow(run, "meet long, v long, n long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose estimate does not rule out the threshold."""
     side = lambda x: classes.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    # Sizes alone rule out many: the smaller set must hold the threshold's share of the larger.
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
         for batch in batches:
@@ -213,7 +221,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = 32) -> DataFrame:
+def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = SMALL_GROUP) -> DataFrame:
     """``doc_id, n_shingles, print, component_id`` of every document (``print`` names its set)."""
     signed = written(signatures(docs, width), "signatures")
     classes = written(
@@ -227,9 +235,9 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
         needed = written(classes.select("doc_id", "print", "v").join(ends, "v", "left_semi"), "needed")
         return _links(likely, written(_sets(docs, needed, width), "sets"), percent)
 
-    bands = _bands(classes).withColumnRenamed("band", "meet")
+    bands = _bands(classes, percent)
     shared = bands.groupBy("meet").agg(F.count("*").alias("size")).where("size > 1").select("meet")
-    roots = grouped_components(written(bands.join(shared, "meet"), "members"), confirm, small_group)
+    roots = grouped_components(written(bands.join(shared, "meet"), "members"), confirm, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), small_group)
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = written(rooted.select("print", "doc_id", "root"), "rooted")
