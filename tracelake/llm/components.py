@@ -50,8 +50,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def grouped_components(members: DataFrame, confirm, may_link, small_group: int = SMALL_GROUP, centres: int = CENTRES) -> DataFrame:
     """``node, root`` of the links that ``confirm`` finds between members of one group.
 
-    ``members`` (``meet, v, n``, a written table) says which nodes meet in which groups,
-    and gives each a size; ``may_link`` is a cheap predicate on two sizes, ``confirm``
+    ``members`` (``meet, v, mark``, a written table) says which nodes meet in which groups,
+    and gives each a small mark; ``may_link`` is a cheap predicate on two marks, ``confirm``
     takes pairs ``a, b`` and returns those that are links. No group's
     pairs are all listed: first every member is compared with the group's centre,
     which is the member that meets most others. Where a group still holds several
@@ -75,19 +75,19 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
         now = now.withColumn("done", F.lit(False)) if used is None else now.join(used.withColumn("done", F.lit(True)), ["meet", "v"], "left")
         fresh = ~F.coalesce("done", F.lit(False))
         heads = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(fresh).alias("fresh")).where((F.col("low") < F.col("high")) & (F.col("fresh") > 0))
-        active = written(now.select("meet", "v", "n", "root", "size", "weight", fresh.alias("fresh")).join(heads.select("meet"), "meet"), "active")
+        active = written(now.select("meet", "v", "mark", "root", "size", "weight", fresh.alias("fresh")).join(heads.select("meet"), "meet"), "active")
         if not active.take(1):
             return roots if roots is not None else active.select(F.col("v").alias("node"), "root")
         # In the first round every group has one centre; later, small groups are exhausted at once and larger ones take several.
         large, most = (active, 1) if roots is None else (active.where(F.col("size") > small_group), centres)
         order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
-        heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("n").alias("m"))
-        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("n"), F.col("m"))).select("centre", "v")
+        heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("mark").alias("m"))
+        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v")
         finished = heads.select("meet", F.col("centre").alias("v"))
         if roots is not None:
             small = active.where(F.col("size") <= small_group)
-            other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("n").alias("m"))
-            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("n"), F.col("m"))).select("v", "w"))
+            other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
+            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w"))
             finished = finished.union(small.select("meet", "v"))
         pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:

@@ -251,7 +251,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # One sort by key: a row stays if its neighbour under the same key is another line.
     near = _signed(docs).withColumn("before", F.lag("v").over(w)).withColumn("after", F.lead("v").over(w))
     other = (F.col("before") != F.col("v")) | (F.col("after") != F.col("v"))
-    members = written(near.where(other).select("meet", "v", "n").distinct(), "members")
+    members = written(near.where(other).select("meet", "v", F.col("n").alias("mark")).distinct(), "members")
     roots = grouped_components(members, _confirm(docs), lambda a, b: F.abs(a - b) <= MOST_EDITS)
     found = written(_occurrences(docs), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line")

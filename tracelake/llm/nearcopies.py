@@ -155,9 +155,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "print", "registers"])
+            registers = [sketch(s) for s in sets]
+            bits = np.array([marks(r) for r in registers], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets)], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "n", "print", "registers", "b0", "b1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary, b0 long, b1 long")
 
 
 def _bands(classes: DataFrame, percent: int) -> DataFrame:
@@ -166,9 +168,31 @@ def _bands(classes: DataFrame, percent: int) -> DataFrame:
             n = batch.column("n").to_pylist()
             keys = [band_keys(np.frombuffer(r, np.uint16), m, percent) for r, m in zip(batch.column("registers").to_pylist(), n)]
             counts = [len(k) for k in keys]
-            yield pa.RecordBatch.from_pydict({"meet": np.concatenate(keys) if keys else np.zeros(0, np.int64), "v": np.repeat(batch.column("v").to_numpy(), counts), "n": np.repeat(np.array(n, np.int64), counts)})
+            yield pa.RecordBatch.from_pydict({"meet": np.concatenate(keys) if keys else np.zeros(0, np.int64), "v": np.repeat(batch.column("v").to_numpy(), counts)})
 
-    return classes.select("v", "n", "registers").mapInArrow(run, "meet long, v long, n long")
+    return classes.select("v", "n", "registers").mapInArrow(run, "meet long, v long")
+
+
+def marks(registers: np.ndarray) -> np.ndarray:
+    """One bit of each register, as two 64-bit words."""
+    return np.packbits((registers & 1).astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int):
+    """Whether sizes and marks allow a link.
+
+    The smaller set must hold the threshold's share of the larger. Registers of
+    linked sets differ with at most one minus the threshold's probability, and
+    the bits of those that do with one half of that; ``SIGMAS`` errors are added.
+    """
+    p = (1 - percent / 100) / 2
+    most = int(REGISTERS * p + SIGMAS * np.sqrt(REGISTERS * p * (1 - p))) + 1
+
+    def test(a, b):
+        differ = F.bit_count(a["b0"].bitwiseXOR(b["b0"])) + F.bit_count(a["b1"].bitwiseXOR(b["b1"]))
+        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (differ <= most)
+
+    return test
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +249,7 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
     """``doc_id, n_shingles, print, component_id`` of every document (``print`` names its set)."""
     signed = written(signatures(docs, width), "signatures")
     classes = written(
-        signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("v", F.monotonically_increasing_id()),
+        signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("b0").alias("b0"), F.first("b1").alias("b1")).withColumn("v", F.monotonically_increasing_id()),
         "classes",
     )
 
@@ -237,7 +261,8 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
 
     bands = _bands(classes, percent)
     shared = bands.groupBy("meet").agg(F.count("*").alias("size")).where("size > 1").select("meet")
-    roots = grouped_components(written(bands.join(shared, "meet"), "members"), confirm, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), small_group)
+    members = bands.join(shared, "meet").join(classes.select("v", F.struct("n", "b0", "b1").alias("mark")), "v")
+    roots = grouped_components(written(members, "members"), confirm, _may_link(percent), small_group)
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = written(rooted.select("print", "doc_id", "root"), "rooted")
