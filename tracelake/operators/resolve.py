@@ -122,6 +122,8 @@ class Corpus:
 
     def locate(self, anchor: dict) -> tuple[ast.AST | None, int, int]:
         """The anchor's declaration and where its span is now: at its old lines, or once inside the declaration."""
+        if not is_python(anchor["path"]):
+            raise Unresolved("only Python is resolved")
         if anchor["path"] not in self.texts:
             raise KeyError("file is absent")
         f = self.file(anchor["path"])
