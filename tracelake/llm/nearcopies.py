@@ -35,7 +35,7 @@ from tracelake.llm.components import SMALL_GROUP, grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
 EMPTY = 0xFFFF
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 _r = np.random.default_rng(123456789)
 _BYTE = _r.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
