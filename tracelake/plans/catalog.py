@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.operators import corpus, diff, metrics, pack, rank, verify
+from tracelake.operators import corpus, diff, grouped, metrics, pack, rank, verify
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,6 +382,44 @@ def publication_findings(spark, d):
     return corpus.lines(_files(spark, d)).select("path", "line_no", F.explode(kinds).alias("kind"))
 
 
+def _trees(spark, d):
+    """A small Python tree for each document, and a later one made by ``doc_id % 10``."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    k = F.pmod("doc_id", F.lit(10))
+    n = F.col("doc_id").cast("string")
+    entry = F.concat(F.lit("from mid import step\n\ndef entry(x):\n    return step(x) + "), n, F.lit("\n"))
+    mid = F.lit("from leaf import rate\n\ndef step(x):\n    return x * rate()\n")
+    leaf = F.concat(F.lit("def rate():\n    return "), n, F.lit("\n"))
+    tree = lambda *files: F.explode(F.array(*[F.struct(F.lit(p).alias("path"), t.alias("text")) for p, t in files]))
+    before = docs.select("doc_id", tree(("entry.py", entry), ("mid.py", mid), ("leaf.py", leaf)).alias("f"))
+    leaf2 = F.when(k == 3, F.concat(F.lit("# header\n\n"), leaf)).when(k == 5, F.replace(leaf, F.lit("return "), F.lit("return 1 + "))).when(k == 7, F.concat(leaf, leaf)).when(k == 8, F.concat(leaf, F.lit("\nOTHER = 1\n"))).otherwise(leaf)
+    mid2 = F.when(k == 9, F.replace(mid, F.lit("x * rate()"), F.lit("rate() * x"))).otherwise(mid)
+    after = docs.select("doc_id", k.alias("k"), tree(("entry.py", entry), ("mid.py", mid2), ("leaf.py", leaf2)).alias("f"))
+    after = after.where(~((F.col("k") == 6) & (F.col("f.path") == "leaf.py")))
+    path = F.when((F.col("k") == 4) & (F.col("f.path") == "leaf.py"), "other/leaf.py").otherwise(F.col("f.path"))
+    cols = lambda df, p: df.select(F.col("doc_id").alias("rev"), p.alias("path"), F.col("f.text").alias("text"))
+    anchors = docs.select(F.col("doc_id").alias("rev"), F.lit("a").alias("id"), F.lit("entry.py").alias("path"), F.lit("entry").alias("symbol"), F.lit("function").alias("kind"))
+    return cols(before, F.col("f.path")), cols(after, path), anchors
+
+
+@query(
+    "dependency_revisions",
+    """SELECT doc_id AS rev, 'a' AS id, CASE doc_id % 10 WHEN 9 THEN 'changed' ELSE 'unchanged' END AS one_hop,
+  CASE doc_id % 10 WHEN 4 THEN 'unresolved' WHEN 5 THEN 'changed' WHEN 6 THEN 'unresolved' WHEN 7 THEN 'unresolved' WHEN 9 THEN 'changed' ELSE 'unchanged' END AS transitive,
+  CAST(5 AS BIGINT) AS nodes, true AS delta_ok FROM documents""",
+)
+def dependency_revisions(spark, d):
+    """One-hop witnesses and transitive graphs of a tree per document, before and after its edit."""
+    return grouped.compare_revisions(*_trees(spark, d)).drop("complete")
+
+
+@query("bundle_render")
+def bundle_render(spark, d):
+    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
+    best = rank.top(rank.bm25(chunks, qs), 20).select("query_id", "id", "rank", "score")
+    return grouped.bundles(best.join(chunks, "id").join(qs, "query_id"))
+
+
 @query("snapshot_identity")
 def snapshot_identity(spark, d):
     return corpus.snapshot_id(_files(spark, d))
