@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import canonical, sealed, text_digest
 
-HEADER = ("schema_version", "snapshot_id", "query", "method", "tokenizer", "budget", "budget_unit", "omitted_count", "id", "provenance")
+HEADER = tuple("budget budget_unit id method omitted_count provenance query schema_version snapshot_id tokenizer".split())
 
 
 def greedy(rows: DataFrame, group: str, rank: str, item: str, cost: str, budget: int) -> DataFrame:
@@ -79,7 +79,7 @@ def pack(header: dict, candidates: Iterable[dict], budget: int, count: Callable[
 
 def entry(hit: dict) -> dict:
     """A chunk with its digest and rounded score."""
-    fields = ("id", "path", "start_line", "end_line", "text", "symbol", "kind", "file_sha256")
+    fields = "id path symbol kind start_line end_line file_sha256 text".split()
     return {**{k: hit[k] for k in fields}, "text_sha256": text_digest(hit["text"]), "score": round(hit["score"], 8), "reasons": list(hit.get("reasons", []))}
 
 

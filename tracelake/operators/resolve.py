@@ -13,7 +13,7 @@ from tracelake.functions.canonical import text_digest
 from tracelake.operators.facts import FUNCTIONS, SCOPES, File, dotted, is_python, module_names, parse, span, split_lines, stored
 
 MOST_STEPS = 128
-RANK = ("invalid", "missing", "changed", "unresolved", "unchanged")
+RANK = tuple("invalid missing changed unresolved unchanged".split())
 
 
 class Unresolved(Exception):

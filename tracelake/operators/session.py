@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.canonical import canonical, escaped, seal_holds, sealed
 from tracelake.operators import corpus, facts, graph, pack, rank, resolve, verify
 
-ANCHOR = ("id", "path", "symbol", "kind", "start_line", "end_line", "text", "text_sha256", "file_sha256")
+ANCHOR = tuple("end_line file_sha256 id kind path start_line symbol text text_sha256".split())
 TRUSTED = {"unchanged", "unresolved"}
 
 

@@ -98,7 +98,7 @@ def all_valid(results: DataFrame) -> DataFrame:
     return results.agg((F.count("*") > 0).alias("some"), F.coalesce(F.bool_and(F.col("status") == "valid"), F.lit(False)).alias("every")).select((F.col("some") & F.col("every")).alias("valid"))
 
 
-PRECEDENCE = ("invalid", "missing", "changed", "unresolved", "unchanged")
+PRECEDENCE = tuple("invalid missing changed unresolved unchanged".split())
 
 
 def worst(status: Column) -> Column:
