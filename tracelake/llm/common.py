@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A one-hash filter of ``FILTER_BITS`` bits over ids; its size does not depend on the data."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def id_filter(ids: DataFrame, bit: Column) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits, set at the ids' places; its size does not depend on the data."""
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)

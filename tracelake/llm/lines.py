@@ -35,7 +35,7 @@ from tracelake.llm.components import grouped_components
 MOST_EDITS = 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _K1, _K2, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -210,25 +210,19 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 def _confirm(docs: DataFrame):
     def confirm(pairs):
         ends = written(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "ends")
-        bits = id_filter(ends, "v")
+        # The ids are hashes already, so their low bits are the filter's place.
+        bits = id_filter(ends, F.pmod("v", F.lit(FILTER_BITS)))
 
         def texts(batches):
-            seen = set()
             for batch in batches:
-                lines = list(dict.fromkeys(_texts(batch)[0]))
+                lines = _texts(batch)[0]
                 for lo, hi in slices([len(x) for x in lines], _CHUNK):
-                    ids = line_ids(lines[lo:hi])[0].view(np.int64).tolist()
-                    fresh = [i for i, v in enumerate(ids) if v not in seen]
-                    if len(seen) < 1_000_000:
-                        seen.update(ids[i] for i in fresh)
-                    yield pa.RecordBatch.from_pydict({"v": pa.array([ids[i] for i in fresh], pa.int64()), "content": pa.array([lines[lo + i] for i in fresh], pa.string())})
+                    ids = line_ids(lines[lo:hi])[0].view(np.int64)
+                    at = ids & (FILTER_BITS - 1)
+                    hit = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+                    yield pa.RecordBatch.from_pydict({"v": ids[hit], "content": pa.array([lines[lo + i] for i in hit.tolist()], pa.string())})
 
-        def skip(batches):
-            for batch in batches:
-                bit = batch.column("bit").to_numpy()
-                yield batch.filter(pa.array((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1)).select(["v", "content"])
-
-        known = docs.select("text").mapInArrow(texts, "v long, content string").withColumn("bit", F.pmod(F.xxhash64("v"), F.lit(FILTER_BITS))).mapInArrow(skip, "v long, content string")
+        known = docs.select("text").mapInArrow(texts, "v long, content string")
         known = written(known.join(ends, "v", "left_semi").dropDuplicates(["v"]), "texts")
         met = pairs.join(known.select(F.col("v").alias("a"), F.col("content").alias("x")), "a").join(known.select(F.col("v").alias("b"), F.col("content").alias("y")), "b")
 

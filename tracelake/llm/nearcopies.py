@@ -213,7 +213,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """``v, shingles`` for the classes in ``needed`` (``doc_id, print, v``), from the texts."""
-    bits = id_filter(needed, "doc_id")
+    bits = id_filter(needed, F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
     def run(batches):
         for batch in batches:
