@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import shared_dir, written
 
-SMALL_GROUP, CENTRES = 512, 128
+SMALL_GROUP, CENTRES = 256, 128
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -63,6 +63,7 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
     sized = members.join(sizes, "meet")
     members = written(sized.join(sized.groupBy("v").agg(F.sum("size").alias("weight")), "v"), "weighted")
     roots = compared = used = None
+    tasks = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spark, seen, linked = members.sparkSession, [], []
 
     def stored(df, paths):
@@ -85,7 +86,8 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
         pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v")
         finished = heads.select("meet", F.col("centre").alias("v"))
         if roots is not None:
-            small = active.where(F.col("size") <= small_group)
+            # A stated number of tasks: few bytes make many comparisons, and the adaptive planner goes by bytes.
+            small = active.where(F.col("size") <= small_group).repartition(tasks, "meet")
             other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
             pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w"))
             finished = finished.union(small.select("meet", "v"))
