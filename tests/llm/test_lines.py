@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +90,48 @@ def test_edges_and_clean(spark):
     assert kept.columns == docs.columns
     got = {(r.doc_id, r.text) for r in kept.collect()}
     assert got == {(1, None), (2, ""), (3, "\n \n"), (4, "short\nshorx"), (None, "only here and nowhere else"), (6, "long " * 40000), (8, "é" * 30 + "\r\nkeep"), (9, "other")}
+
+
+def _edited(r, line, edits):
+    """``line`` with evenly spread edits, which leave the shortest stretches whole."""
+    out = list(line)
+    for at in sorted({int((i + 1) * len(line) / (edits + 1)) for i in range(edits)}, reverse=True):
+        kind = r.randrange(3)
+        out[at : at + (kind > 0)] = [] if kind == 1 else ["#"]
+    return "".join(out)
+
+
+def test_edited_lines_of_every_length_meet():
+    """Recall of the anchors against brute force is whole, with as many edits as are allowed."""
+    r = random.Random(5)
+    linked = 0
+    for n in [*range(20, 260), *range(260, 3000, 97)]:
+        for _ in range(4):
+            a = "".join(r.choice("abcdefgh ") for _ in range(n))
+            b = _edited(r, a, n // 20)
+            most = int(lines.allowed(min(len(a), len(b))))
+            if a == b or _levenshtein(a, b) > most if n < 260 else lines.edit_distance(a, b, most) > most:
+                continue
+            linked += 1
+            key, owner, lo, hi = lines._anchors(lines.line_ids([a, b])[1])
+            own = [{k: (x, y) for k, o, x, y in zip(key.tolist(), owner.tolist(), lo.tolist(), hi.tolist()) if o == i} for i in (0, 1)]
+            assert any(own[0][k][0] - most <= own[1][k][1] and own[1][k][0] - most <= own[0][k][1] for k in own[0].keys() & own[1].keys()), (n, a, b)
+            bags = [np.frombuffer(lines._bag(x), np.uint8).astype(int) for x in (a, b)]
+            assert abs(bags[0] - bags[1]).sum() <= 2 * most
+    assert linked > 700
+
+
+def test_replaced_words_link_paragraphs(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(60):
+        line = [r.choice(words) for _ in range(r.randrange(12, 150))]
+        rows.append((2 * i, " ".join(line)))
+        line[r.randrange(len(line))] = r.choice(words)
+        rows.append((2 * i + 1, " ".join(line)))
+    # By the test's full table, which the code under test has no part in.
+    far = sum(2 < _levenshtein(a, b) <= min(len(a), len(b)) // 20 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    got = _run(spark, rows)
+    assert far > 30 and got == _brute(rows)
+    assert sum(kept == 0 for _, _, kept, _ in got) >= far

@@ -1,14 +1,16 @@
-"""Line deduplication by a segment-partition edit join.
+"""Line deduplication by an edit join over shared anchors.
 
 Two lines are linked if their edit distance is within :func:`allowed` of the
-shorter one: none under 20 characters (such lines must be equal), one under 40,
-two beyond. If ``t`` edits are allowed, a line cut into ``t + 1`` segments keeps
-one of them whole, so every line files each of its segments under its length,
-the segment's number and a hash; and looks up, for each length from its own
-down to ``t`` less, those of its substrings that can be such a segment (the
-multi-match-aware selection: twelve at most in all). Lines that meet are
-compared by banded bit-parallel edit distance. Links join lines into classes
-without listing all pairs of a group (see ``components``).
+shorter one: one edit for every whole 20 characters, however long the line is
+(lines under 20 characters must be equal). ``t`` edits leave a stretch of
+``(n - t) / (t + 1)`` characters whole, so every line files the least grams, by
+hash, of all windows that just fill such a stretch (winnowing): linked lines
+file one gram in common, at places at most ``t`` apart. The windows of a line
+are as narrow as those of any line it may be linked to, and a narrower window
+picks all that a wider one does. Lines that meet under a gram, and agree in
+length and place, are compared first by counts of characters, then by
+bit-parallel edit distance. Links join lines into classes without listing all
+pairs of a group (see ``components``).
 
 Of the occurrences of a class the first one, by document id and line number,
 stays; the others are removed. Blank lines are not lines: they stay and are not
@@ -32,23 +34,25 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
 from tracelake.llm.components import grouped_components
 
-MOST_EDITS = 2
+#: Shortest and longest length of a pair's shorter line, and the grams such pairs meet on.
+FAMILIES = ((20, 39, 10), (40, 1 << 40, 12))
+BAG = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 19
-_K1, _K2, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
+_K1, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
 def allowed(length):
     """Edits allowed for a shorter line of this length."""
-    return np.minimum(np.asarray(length) // 20, MOST_EDITS)
+    return np.asarray(length) // 20
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or ``most + 1`` if it is greater.
 
     A common start and end are cut off; the rest is the bit-parallel recurrence
-    over a band of ``2 * most + 1`` diagonals around the main one.
+    (Myers, Hyyrö) with a column of the table in one integer of any size.
     """
     if a == b:
         return 0
@@ -71,46 +75,24 @@ def edit_distance(a: str, b: str, most: int) -> int:
     a, b = a[: n - j], b[: len(b) - j]
     if not a:
         return min(len(b), most + 1)
-    # Bit d of a word stands for diagonal d - most: of row i (of b), column i + d - most (of a).
-    width = 2 * most + 1
-    mask = (1 << width) - 1
-    # reach[e]: diagonals on which some prefix pair of the current row has e edits at most.
-    reach = [0] * (most + 1)
-    for e in range(most + 1):
-        reach[e] = sum(1 << (most + d) for d in range(0, e + 1))
-    columns = len(a)
-    for row in range(1, len(b) + 1):
-        c, same = b[row - 1], 0
-        low = row - most
-        for d in range(width):
-            column = low + d
-            if 1 <= column <= columns and a[column - 1] == c:
-                same |= 1 << d
-        inside = 0
-        first, last = max(0, -low), min(width - 1, columns - low)
-        if first <= last:
-            inside = ((1 << (last - first + 1)) - 1) << first
-        before, now = 0, []
-        for e in range(most + 1):
-            bits = reach[e] & same  # a match keeps its diagonal
-            if e:
-                # Substitution keeps the diagonal, dropping a character of b moves one down, of a one up.
-                bits |= reach[e - 1] | (reach[e - 1] >> 1) | (before << 1) | before
-            bits &= inside & mask
-            now.append(bits)
-            before = bits
-        reach = now
-        if not reach[most]:
+    places: dict[str, int] = {}
+    for at, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << at
+    # Bit i of up (down): the table rises (falls) by one from row i to row i + 1 of the current column.
+    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = mask, 0, len(a), len(b)
+    for c in b:
+        same = places.get(c, 0)
+        flat = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (mask & ~(across | up)), up & across
+        score += bool(more & last) - bool(less & last)
+        left -= 1
+        if score - left > most:
             return most + 1
-    end = 1 << (columns - len(b) + most)
-    return next((e for e in range(most + 1) if reach[e] & end), most + 1)
-
-
-def _segments(length: np.ndarray, parts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment ``k`` of ``parts`` even ones (the last are the longer)."""
-    size, longer = length // parts, length % parts
-    extra = np.maximum(k - (parts - longer), 0)
-    return k * size + extra, size + (k >= parts - longer)
+        more, less = more << 1 | 1, less << 1
+        up, down = mask & (less | ~(flat | more)), mask & more & flat
+    return min(score, most + 1)
 
 
 class Hashes:
@@ -138,31 +120,67 @@ def line_ids(lines: list[str]) -> tuple[np.ndarray, "Hashes | None"]:
     return h.of(h.start, h.length), h
 
 
+def _whole(length: np.ndarray) -> np.ndarray:
+    """Characters that the allowed edits leave whole in a row, at least."""
+    t = allowed(length)
+    return -(-(length - t) // (t + 1))
+
+
+def _windows(length: np.ndarray, low: int, high: int, gram: int) -> np.ndarray:
+    """Grams in the window of a line: the narrowest of all shorter lines it may be linked to."""
+    # The shortest n of those has n + n // 20 >= length.
+    least = np.maximum(20 * (length // 21) + length % 21, low)
+    # Whole stretches grow between multiples of 20 and from one multiple to the next.
+    step = -(-least // 20) * 20
+    return np.where(step <= np.minimum(length, high), np.minimum(_whole(least), _whole(step)), _whole(least)) - gram + 1
+
+
+def _anchors(h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, index of the line, first place, last place)`` of every gram that a line files."""
+    out = []
+    for low, high, gram in FAMILIES:
+        fits = np.flatnonzero((h.length >= low) & (h.length <= high + allowed(high)))
+        if not len(fits):
+            continue
+        begins = np.arange(max(len(h.prefix) - gram, 0))
+        grams = h.of(begins, np.full(len(begins), gram))
+        windows = _windows(h.length[fits], low, high, gram)
+        for window in np.unique(windows).tolist():
+            which = fits[windows == window]
+            n = h.length[which] - gram - window + 2
+            owner = np.repeat(which, n)
+            first = h.start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            at, least = first, grams[first]
+            for k in range(1, window):
+                other = grams[first + k]
+                at, least = np.where(other < least, first + k, at), np.minimum(other, least)
+            new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))
+            key, owner, place = least[new], owner[new], (at - h.start[owner])[new]
+            order = np.lexsort((place, key, owner))
+            key, owner, place = key[order], owner[order], place[order]
+            head = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+            tail = np.append(head[1:], True)
+            out.append((key[head].view(np.int64), owner[head], place[head], place[tail]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def _keys(h: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """``(key, index of the line)`` of every segment filed and every substring looked up."""
-    keys, owners = [], []
-
-    def add(which, start, size, length, number):
-        key = h.of(h.start[which] + start, size) * _K2 + (length.astype(np.uint64) * np.uint64(8) + np.uint64(number)) * _K3
-        keys.append(mix64(key))
-        owners.append(which)
-
-    for t in range(1, MOST_EDITS + 1):
-        for gap in range(t + 1):
-            shorter = h.length - gap
-            which = np.flatnonzero(allowed(np.maximum(shorter, 0)) == t)
-            if not len(which):
-                continue
-            short = shorter[which]
-            for k in range(t + 1):
-                start, size = _segments(short, t + 1, k)
-                # Shifts of the segment that both its left and its right side allow; 0 at gap 0 files it.
-                for shift in range(max(-k, gap - (t - k)), min(k, gap + (t - k)) + 1):
-                    fits = (start + shift >= 0) & (start + shift + size <= h.length[which])
-                    add(which[fits], (start + shift)[fits], size[fits], short[fits], k)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+    """``(key, index of the line)`` of every gram that a line files."""
+    return _anchors(h)[:2]
+
+
+def _may_link(a, b):
+    """On two marks ``n, lo, hi``: lengths and places that the allowed edits can join."""
+    most = F.floor(F.least(a["n"], b["n"]) / 20)
+    return (F.abs(a["n"] - b["n"]) <= most) & (a["lo"] - most <= b["hi"]) & (b["lo"] - most <= a["hi"])
+
+
+def _bag(line: str) -> bytes:
+    """Counts of a line's characters, folded to ``BAG`` bytes; an edit changes their sum of differences by two at most."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(np.bincount(points % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def _texts(batch) -> tuple[list[str], list[int], list[int]]:
@@ -178,17 +196,19 @@ def _texts(batch) -> tuple[list[str], list[int], list[int]]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``meet, v, n`` rows: once for each distinct line of a batch."""
+    """``meet, v, n, lo, hi`` rows: once for each gram of each distinct line of a batch."""
 
     def run(batches):
         for batch in batches:
             lines = list(dict.fromkeys(_texts(batch)[0]))
             for lo, hi in slices([len(x) for x in lines], _CHUNK):
                 ids, h = line_ids(lines[lo:hi])
-                meet, which = _keys(h)
-                yield pa.RecordBatch.from_pydict({"meet": meet, "v": ids.view(np.int64)[which], "n": h.length[which].astype(np.int32)})
+                meet, which, first, last = _anchors(h)
+                for i in range(0, len(meet), 1 << 16):
+                    own = which[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"meet": meet[i : i + (1 << 16)], "v": ids.view(np.int64)[own], "n": h.length[own].astype(np.int32), "lo": first[i : i + (1 << 16)].astype(np.int32), "hi": last[i : i + (1 << 16)].astype(np.int32)})
 
-    return docs.select("text").mapInArrow(run, "meet long, v long, n int")
+    return docs.select("text").mapInArrow(run, "meet long, v long, n int, lo int, hi int")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -220,11 +240,20 @@ def _confirm(docs: DataFrame):
                     ids = line_ids(lines[lo:hi])[0].view(np.int64)
                     at = ids & (FILTER_BITS - 1)
                     hit = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-                    yield pa.RecordBatch.from_pydict({"v": ids[hit], "content": pa.array([lines[lo + i] for i in hit.tolist()], pa.string())})
+                    found = [lines[lo + i] for i in hit.tolist()]
+                    yield pa.RecordBatch.from_pydict({"v": ids[hit], "bag": pa.array(map(_bag, found), pa.binary()), "n": pa.array(map(len, found), pa.int32()), "content": pa.array(found, pa.string())})
+
+        def alike(batches):
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("x", "y"))
+                keep = np.abs(x - y).sum(1) <= 2 * allowed(batch.column("n").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-        known = docs.select("text").mapInArrow(texts, "v long, content string")
+        known = docs.select("text").mapInArrow(texts, "v long, bag binary, n int, content string")
         known = written(known.join(ends, "v", "left_semi").dropDuplicates(["v"]), "texts")
-        met = pairs.join(known.select(F.col("v").alias("a"), F.col("content").alias("x")), "a").join(known.select(F.col("v").alias("b"), F.col("content").alias("y")), "b")
+        bags = pairs.join(known.select(F.col("v").alias("a"), F.col("bag").alias("x"), F.col("n").alias("n_a")), "a").join(known.select(F.col("v").alias("b"), F.col("bag").alias("y"), F.col("n").alias("n_b")), "b")
+        near = written(bags.select("a", "b", "x", "y", F.least("n_a", "n_b").alias("n")).mapInArrow(alike, "a long, b long"), "near")
+        met = near.join(known.select(F.col("v").alias("a"), F.col("content").alias("x")), "a").join(known.select(F.col("v").alias("b"), F.col("content").alias("y")), "b")
 
         def verify(batches):
             for batch in batches:
@@ -241,12 +270,21 @@ def _confirm(docs: DataFrame):
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line, root, first_id, first_line``: every line and its class's first occurrence."""
-    w = Window.partitionBy("meet").orderBy("v")
-    # One sort by key: a row stays if its neighbour under the same key is another line.
-    near = _signed(docs).withColumn("before", F.lag("v").over(w)).withColumn("after", F.lead("v").over(w))
-    other = (F.col("before") != F.col("v")) | (F.col("after") != F.col("v"))
-    members = written(near.where(other).select("meet", "v", F.col("n").alias("mark")).distinct(), "members")
-    roots = grouped_components(members, _confirm(docs), lambda a, b: F.abs(a - b) <= MOST_EDITS)
+    by_length, by_place = Window.partitionBy("meet").orderBy("n", "v"), Window.partitionBy("meet").orderBy("lo", "v")
+    t = F.floor(F.col("n") / 20)
+    # One sort by key: a row stays if the next shorter or longer line under the same key is near in length.
+    # Rows of one line are equal and lie together, so the outer ones see other lines.
+    near = _signed(docs)
+    for side, f in (("before", F.lag), ("after", F.lead)):
+        near = near.withColumn(side, f(F.struct("v", "n")).over(by_length))
+    short = (F.col("before.v") != F.col("v")) & (F.col("n") - F.col("before.n") <= F.floor(F.col("before.n") / 20))
+    long = (F.col("after.v") != F.col("v")) & (F.col("after.n") - F.col("n") <= t)
+    near = near.where(F.coalesce(short, F.lit(False)) | F.coalesce(long, F.lit(False))).select("meet", "v", "n", "lo", "hi").distinct()
+    # Then, of these, if another's places reach its own.
+    near = near.withColumn("reach", F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.lead("lo").over(by_place))
+    near = near.where((F.col("reach") >= F.col("lo") - t) | (F.col("next") <= F.col("hi") + t))
+    members = written(near.select("meet", "v", F.struct("n", "lo", "hi").alias("mark")), "members")
+    roots = grouped_components(members, _confirm(docs), _may_link)
     found = written(_occurrences(docs), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line")
     distinct = found.groupBy("v", "w").agg(F.min(place).alias("first")).join(roots.select(F.col("node").alias("v"), "root"), "v", "left")

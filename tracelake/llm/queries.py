@@ -57,7 +57,7 @@ FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 def op3_line_dedup(spark, sf_dir):
-    """Lines of every document that repeat others, up to two edits, and where those are."""
+    """Lines of every document that repeat others, up to one edit in 20 characters, and where those are."""
     return lines.summary(table(spark, sf_dir, "documents"))
 
 
