@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain, groupby
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import canonical, text_digest
@@ -50,19 +52,28 @@ def bundles(ranked: DataFrame, budget: int = 4000) -> DataFrame:
     """``query_id, entries, omitted, consumed, rendered_sha256`` of every query's packed bundle.
 
     ``ranked`` holds the chunk columns, ``query_id``, ``query``, ``rank`` and
-    ``score``; the ranking's limit bounds a group.
+    ``score`` of all candidates. One ordered pass a query; texts that exceed the
+    budget by themselves are counted but not moved.
     """
+    counted = ranked.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
+    fields = "query_id query rank score total id path symbol kind start_line end_line file_sha256 text".split()
+    rows = counted.where((F.octet_length("text") <= budget) | (F.col("rank") == 1)).select(*fields)
+    names = ["query_id", "entries", "omitted", "consumed", "rendered_sha256"]
 
-    def one(pdf):
-        pdf = pdf.sort_values("rank")
-        hits = [pack.entry({**r, "start_line": int(r["start_line"]), "end_line": int(r["end_line"]), "score": float(r["score"])}) for r in pdf.to_dict("records")]
-        head = {"schema_version": 1, "snapshot_id": "", "query": pdf["query"].iloc[0], "method": "bm25", "tokenizer": "bytes"}
-        q = pdf["query_id"].iloc[0]
+    def one(q, hits):
+        first = next(hits)
+        head = {"schema_version": 1, "snapshot_id": "", "query": first["query"], "method": "bm25", "tokenizer": "bytes"}
         try:
-            b = pack.pack(head, hits, budget)
+            b = pack.pack(head, map(pack.entry, chain([first], hits)), budget, total=first["total"])
         except ValueError:
-            return pd.DataFrame([(q, 0, len(hits), None, None)], columns=["query_id", "entries", "omitted", "consumed", "rendered_sha256"])
-        return pd.DataFrame([(q, len(b["entries"]), b["omitted_count"], b["consumed"], text_digest(pack.render(b)))], columns=["query_id", "entries", "omitted", "consumed", "rendered_sha256"])
+            return (q, 0, first["total"], None, None)
+        return (q, len(b["entries"]), b["omitted_count"], b["consumed"], text_digest(pack.render(b)))
+
+    def run(frames):
+        hits = (r for pdf in frames for r in pdf.astype(object).to_dict("records"))
+        for q, own in groupby(hits, lambda r: r["query_id"]):
+            row = one(q, ({**r, "start_line": int(r["start_line"]), "end_line": int(r["end_line"]), "score": float(r["score"]), "total": int(r["total"])} for r in own))
+            yield pd.DataFrame([row], columns=names)
 
     kind = ranked.schema["query_id"].dataType.simpleString()
-    return ranked.groupBy("query_id").applyInPandas(one, f"query_id {kind}, entries long, omitted long, consumed long, rendered_sha256 string")
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInPandas(run, f"query_id {kind}, entries long, omitted long, consumed long, rendered_sha256 string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +17,32 @@ HEADER = tuple("budget budget_unit id method omitted_count provenance query sche
 def greedy(rows: DataFrame, group: str, rank: str, item: str, cost: str, budget: int) -> DataFrame:
     """``group, kept, used``: items in rank order that still fit; one that does not is skipped.
 
-    One ordered fold a group; a group holds one query's ranked entries, whose
-    number the ranking's limit bounds.
+    One ordered pass over a group of any size, which holds only the bytes used and the items kept.
     """
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col(cost).cast("long").alias("c")))).alias("xs"))
-    kind = rows.schema[item].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(s, x):
-        fits = s["used"] + x["c"] <= budget
-        return F.struct(F.when(fits, s["used"] + x["c"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["kept"], F.array(x["i"]))).otherwise(s["kept"]).alias("kept"))
-
-    return listed.select(group, F.aggregate("xs", start, step).alias("s")).select(group, "s.kept", "s.used")
+    kinds = [rows.schema[c].dataType.simpleString() for c in (group, item)]
+    ordered = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(cost).cast("long").alias("c"), F.col(rank).alias("r"))
+
+    def run(batches):
+        state = None
+        for batch in batches:
+            done = []
+            for g, i, c in zip(*(batch.column(k).to_pylist() for k in "gic")):
+                if state is None or state[0] != g:
+                    done += [state] if state else []
+                    state = [g, [], 0]
+                if c is not None and state[2] + c <= budget:
+                    state[1].append(i)
+                    state[2] += c
+            yield out(done, batch.schema)
+        if state:
+            yield out([state], batch.schema)
+
+    def out(done, schema):
+        g, i = schema.field("g").type, pa.list_(schema.field("i").type)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in ((0, g), (1, i), (2, pa.int64()))], ["g", "kept", "used"])
+
+    folded = ordered.repartition("g").sortWithinPartitions("g", "r", "i", "c").mapInArrow(run, f"g {kinds[0]}, kept array<{kinds[1]}>, used long")
+    return folded.select(F.col("g").alias(group), "kept", "used")
 
 
 def render_entry(entry: dict) -> str:
@@ -48,17 +63,20 @@ def byte_count(text: str) -> int:
     return len(text.encode())
 
 
-def pack(header: dict, candidates: Iterable[dict], budget: int, count: Callable[[str], int] = byte_count) -> dict:
+def pack(header: dict, candidates: Iterable[dict], budget: int, count: Callable[[str], int] = byte_count, total: int | None = None) -> dict:
     """A sealed bundle of the candidates that fit, in order; oversize ones are skipped.
 
     Only the digits of ``omitted_count`` make costs not additive, so each step
-    adds an entry's own cost and the change of those digits.
+    adds an entry's own cost and the change of those digits. With ``total``, the
+    candidates may be a stream, and may lack some that surely do not fit.
     """
-    candidates = list(candidates)
+    if total is None:
+        candidates = list(candidates)
+        total = len(candidates)
     base = {**header, "budget": budget, "budget_unit": "bytes" if count is byte_count else "tokens"}
 
     def whole(kept):
-        return sealed({**base, "omitted_count": len(candidates) - len(kept), "entries": kept})
+        return sealed({**base, "omitted_count": total - len(kept), "entries": kept})
 
     if count(render(whole([]))) > budget:
         raise ValueError("the budget does not hold an empty bundle")
@@ -66,7 +84,7 @@ def pack(header: dict, candidates: Iterable[dict], budget: int, count: Callable[
     size = count(render(whole([])))
     for c in candidates:
         if count is byte_count:
-            before, after = (len(str(len(candidates) - len(kept) - k)) for k in (0, 1))
+            before, after = (len(str(total - len(kept) - k)) for k in (0, 1))
             new = size + byte_count(render_entry(c)) + after - before
         else:
             new = count(render(whole([*kept, c])))

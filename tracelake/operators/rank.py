@@ -40,10 +40,11 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "id", "path", "start_line").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
 
 
-def top(scores: DataFrame, limit: int) -> DataFrame:
-    """The best ``limit`` of every query: by falling score, then path, line and id."""
+def top(scores: DataFrame, limit: int | None) -> DataFrame:
+    """The best ``limit`` of every query, or all: by falling score, then path, line and id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "path", "start_line", "id")
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = scores.where("score > 0").withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def rare_term_edges(tf: DataFrame, chunks: DataFrame) -> DataFrame:

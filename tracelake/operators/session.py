@@ -18,8 +18,7 @@ def tree_chunks(files: DataFrame) -> DataFrame:
     return corpus.with_chunk_id(rows)
 
 
-def search(files: DataFrame, query: str, method: str = "graph", limit: int = 20) -> list[dict]:
-    """Ranked chunks; the limit bounds what reaches the driver."""
+def _ranked(files: DataFrame, query: str, method: str, limit: int | None) -> DataFrame:
     spark, chunks = files.sparkSession, tree_chunks(files)
     qs = spark.createDataFrame([(0, query)], "query_id int, query string")
     scored = rank.bm25(chunks, qs)
@@ -28,16 +27,24 @@ def search(files: DataFrame, query: str, method: str = "graph", limit: int = 20)
     elif method != "bm25":
         raise ValueError("method is bm25 or graph")
     best = rank.reasons(rank.top(scored, limit)).select("id", "score", "rank", "reasons")
-    return [r.asDict() for r in best.join(chunks, "id").orderBy("rank").collect()]
+    return best.join(chunks, "id")
+
+
+def search(files: DataFrame, query: str, method: str = "graph", limit: int = 20) -> list[dict]:
+    """Ranked chunks; the limit bounds what reaches the driver."""
+    return [r.asDict() for r in _ranked(files, query, method, limit).orderBy("rank").collect()]
 
 
 def snapshot(files: DataFrame) -> str:
     return corpus.snapshot_id(files).first()[0]
 
 
-def make_bundle(files: DataFrame, query: str, budget: int = 4000, method: str = "graph", limit: int = 50) -> dict:
+def make_bundle(files: DataFrame, query: str, budget: int = 4000, method: str = "graph", limit: int | None = None) -> dict:
+    """All ranked chunks are candidates unless a limit is given; those larger than the budget stay with the executors."""
     head = {"schema_version": 1, "snapshot_id": snapshot(files), "query": query, "method": method, "tokenizer": "bytes"}
-    return pack.pack(head, [pack.entry(h) for h in search(files, query, method, limit)], budget)
+    ranked = _ranked(files, query, method, limit)
+    fitting = ranked.where(F.octet_length("text") <= budget).orderBy("rank").toLocalIterator()
+    return pack.pack(head, (pack.entry(r.asDict()) for r in fitting), budget, total=ranked.count())
 
 
 def verify_bundle(files: DataFrame, bundle: dict) -> dict:

@@ -416,7 +416,7 @@ def dependency_revisions(spark, d):
 @query("bundle_render")
 def bundle_render(spark, d):
     chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    best = rank.top(rank.bm25(chunks, qs), 20).select("query_id", "id", "rank", "score")
+    best = rank.top(rank.bm25(chunks, qs), None).select("query_id", "id", "rank", "score")
     return grouped.bundles(best.join(chunks, "id").join(qs, "query_id"))
 
 
