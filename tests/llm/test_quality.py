@@ -51,3 +51,17 @@ def test_null_blank_long_and_repeated_rows(spark):
     assert all(len(v) == 1 for v in by.values())
     assert all(next(iter(by[i]))[2:] == (0.0, False) for i in (1, 2, 3))
     assert quality.classify(docs.limit(0)).count() == 0
+
+
+def test_function_words_are_counted_over_all_words():
+    # The period of the text is the stride by which words used to be picked.
+    assert quality.features("the stone fell down " * 500)["function"] == pytest.approx(0.25)
+    assert quality.features("stone the fell down " * 500)["function"] == pytest.approx(0.25)
+
+
+def test_a_long_passage_that_recurs_is_repetition():
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in r.integers(0, 6000, 30000)]
+    at = quality.LABELLERS.index(quality._repetition)
+    assert quality.votes(" ".join(words))[at] == "1"
+    assert quality.votes(" ".join(words[:5000] * 6))[at] == "0"

@@ -18,6 +18,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from operator import eq
 
 import numpy as np
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import slices
+from tracelake.llm.common import mix64, slices
 
 BUCKETS, SAMPLE, SEED, EPOCHS = 1 << 18, 1500, 4711, 4
 FALSE_ALARM, PRIOR = 0.005, 0.5
+BLOCK, WINDOW = 4000, 8
 _FUNCTION_WORDS = frozenset("the of and to in a is that for it was with as on by this be at or from an are not but he she they der die das und ist nicht ein eine zu den mit von im auf sich dem des le la les de et un une du des est que qui dans en pour sur pas par avec el los las del una y es con por no se su lo para".split())
 #: Upper case, lower case, digit, space, line end, terminal mark, other ASCII mark, beyond ASCII.
 _CLASS = np.full(256, 7, np.uint8)
@@ -60,7 +62,7 @@ def _word_length(f):
 
 
 def _repetition(f):
-    return "-" if f["words"] < 40 else _vote(f["distinct"] / min(f["words"], 4000) ** 0.8, lambda v: v > 1.2, lambda v: v < 0.9)
+    return "-" if f["words"] < 40 else _vote(f["variety"], lambda v: v > 1.2, lambda v: v < 0.9)
 
 
 def _echo(f):
@@ -84,25 +86,44 @@ LABELLERS = (_case, _symbols, _stress, _word_length, _repetition, _echo, _functi
 NAMED = ("upper", "odd", "stress", "echo", "function", "digits")
 
 
+def _variety(words: list[str], distinct: int) -> float:
+    """Distinct words by the number that a text of that length has.
+
+    A text of over ``BLOCK`` words is measured on all of its consecutive blocks, and
+    the mean is lowered by the share of its windows of ``WINDOW`` words that have come before.
+    """
+    if len(words) <= BLOCK:
+        return distinct / max(len(words), 1) ** 0.8
+    place: dict[str, int] = {}
+    codes = mix64(np.fromiter((place.setdefault(w, len(place)) + 1 for w in words), np.uint64, len(words)))
+    blocks = np.array_split(codes, -(-len(words) // BLOCK))
+    mean = sum(len(np.unique(b)) / len(b) ** 0.8 for b in blocks) / len(blocks)
+    n = len(words) - WINDOW + 1
+    windows = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        windows = mix64(windows + codes[k : k + n])
+    return mean * len(np.unique(windows)) / n
+
+
 def features(text: str) -> dict[str, float]:
-    """What the labellers look at, from one pass over the bytes and one over the words."""
+    """What the labellers look at, from all bytes and all words."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     n = np.bincount(_CLASS[raw], minlength=8)
     words = text.split()
-    distinct = set(words)
+    distinct = Counter(words)
     letters = n[0] + n[1] + n[7] / 2
     marks = np.bincount(raw, minlength=128)
     common = int(marks[:256][_COMMON_MARKS[: len(marks)]].sum())
     counted = max(len(words), 1)
     return {
         "words": len(words),
-        "distinct": len(distinct),
+        "variety": _variety(words, len(distinct)),
         "echo": sum(map(eq, words, words[1:])) / counted,
         "upper": n[0] / max(letters, 1),
         "odd": max(n[6] - common, 0) / max(len(raw), 1),
         "stress": (marks[33] + marks[63]) / counted,
         "word_length": (len(text) - n[3] - n[4]) / counted,
-        "function": sum(w.lower().strip(".,") in _FUNCTION_WORDS for w in words[:: max(1, len(words) // 500)]) / max(1, len(words[:: max(1, len(words) // 500)])),
+        "function": sum(k for w, k in distinct.items() if w.lower().strip(".,") in _FUNCTION_WORDS) / counted,
         "sentence": counted / max(int(marks[46] + marks[33] + marks[63]), 1),
         "digits": n[2] / max(len(raw) - n[3] - n[4], 1),
     }
