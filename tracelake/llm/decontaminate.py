@@ -93,9 +93,9 @@ def _with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(right, key, "left")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    found = document_hits(docs, benchmark)
+    found = document_hits(docs, benchmark, broadcast_chars)
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     right = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "items", "n_hit")
     both = slim.join(right, slim["doc_id"].eqNullSafe(right["hit_id"]) & (slim["text_key"] == right["hit_key"]), "left")
@@ -110,17 +110,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFra
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
+def _without(spans: Column) -> Column:
+    """The text without the words of the spans and the separators before each; its cost is words plus spans.
+
+    Words and separators take turns as tokens. Lambda variables hold what is used
+    more than once, so that no optimiser copies a regular expression into a loop.
+    """
+
+    def rest(tokens):
+        # Where a separator comes first, the split that counts words has an empty entry before it.
+        lead = F.when(F.substring(F.get(tokens, F.lit(0)), 1, 1).rlike(SEPARATORS), 2).otherwise(1)
+        none = F.array().cast("array<struct<at:int,n:int>>")
+
+        def step(acc, s):
+            start = F.greatest(2 * s["start"] - acc["lead"], F.lit(0))
+            gap = F.array(F.struct(acc["end"].alias("at"), (start - acc["end"]).alias("n")))
+            end = F.greatest(acc["end"], 2 * (s["start"] + s["len"]) - acc["lead"])
+            return F.struct(F.when(start > acc["end"], F.concat(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"), end.alias("end"), acc["lead"].alias("lead"))
+
+        folded = F.aggregate(spans, F.struct(none.alias("gaps"), F.lit(0).alias("end"), lead.alias("lead")), step)
+        gaps = F.transform(F.array(folded), lambda f: F.concat(f["gaps"], F.array(F.struct(f["end"].alias("at"), (F.size(tokens) - f["end"]).alias("n")))))[0]
+        return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(tokens, g["at"] + 1, g["n"]))), "")
+
+    return F.transform(F.array(F.regexp_extract_all("text", F.lit(f"({SEPARATORS}|{WORD})"), 1)), rest)[0]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Documents without those that hold ``least_items`` items; spans of fewer items are cut out.
 
     A cut removes the words of a hit and the separators before each; the rest of
     the text stays as it is.
     """
-    both = _with_hits(docs, document_hits(docs, benchmark))
-    pieces = F.regexp_extract_all("text", F.lit(f"({SEPARATORS[:-1]}*{WORD})"), 1)
-    # Word indexes count from the split, where a leading separator makes an empty first entry.
-    shift = F.when(F.col("text").rlike(f"^{SEPARATORS}"), 1).otherwise(0)
-    kept = F.filter(pieces, lambda x, i: ~F.exists("_hit_spans", lambda s: (i + shift >= s["start"]) & (i + shift < s["start"] + s["len"])))
-    rest = F.concat(F.array_join(kept, ""), F.regexp_extract("text", f"({SEPARATORS[:-1]}*)$", 1))
-    text = F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(rest)
+    both = _with_hits(docs, document_hits(docs, benchmark, broadcast_chars))
+    text = F.when(F.col("_hit_spans").isNull(), docs["text"]).otherwise(_without(F.col("_hit_spans")))
     return both.where(F.coalesce(F.size("_hit_items") < least_items, F.lit(True))).select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
