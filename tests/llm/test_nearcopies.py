@@ -86,6 +86,27 @@ def test_edges(spark):
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [1, 2, 3, 4, 6, 8, 8, 9, 10, 11, 12]
 
 
+def test_keep_one_goes_by_id_and_text(spark):
+    a, b, c = "one text of some words here", "quite another matter that stands alone", "the third one, by null"
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, b), (None, c), (9, c), (None, c), (10, None), (10, ""), (11, a + " and more that makes it differ by far too much")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in nearcopies.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (7, b), (None, c), (None, c), (9, c), (10, None), (10, ""), rows[-1]], key=str)
+
+
+def test_keep_one_leaves_one_text_of_an_id_in_a_component(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words), " ".join([*words[:-1], "x"])
+    docs = spark.createDataFrame([(5, a), (5, b), (6, b)], "doc_id long, text string")
+    assert nearcopies.keep_one(docs).count() == 1
+
+
+def test_sets_too_large_for_one_task_are_compared_alike(spark, monkeypatch):
+    links = nearcopies._links
+    monkeypatch.setattr(nearcopies, "_links", lambda *a: links(*a, most_bytes=1000))
+    test_chains_and_groups_without_an_original(spark, 32)
+
+
 def test_estimates_are_near_the_truth():
     r = np.random.default_rng(9)
     for n, j in ((2000, 0.85), (500, 0.5), (4000, 0.95)):

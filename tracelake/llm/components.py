@@ -52,7 +52,9 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
 
     ``members`` (``meet, v, mark``, a written table) says which nodes meet in which groups,
     and gives each a small mark; ``may_link`` is a cheap predicate on two marks, ``confirm``
-    takes pairs ``a, b`` and returns those that are links. No group's
+    takes pairs ``a, b, near`` and returns those ``a, b`` that are links. Pairs of equal ``near``
+    come from one group and have ``small_group + centres`` nodes at most, so that what is to be
+    compared can be sent there once a node instead of once a pair. No group's
     pairs are all listed: first every member is compared with the group's centre,
     which is the member that meets most others. Where a group still holds several
     components, small groups compare members across components and larger ones
@@ -83,20 +85,22 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
         large, most = (active, 1) if roots is None else (active.where(F.col("size") > small_group), centres)
         order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
         heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("mark").alias("m"))
-        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v")
+        part = F.xxhash64("meet", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / small_group)))
+        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v", "size", part.alias("near"))
         finished = heads.select("meet", F.col("centre").alias("v"))
         if roots is not None:
             # A stated number of tasks: few bytes make many comparisons, and the adaptive planner goes by bytes.
             small = active.where(F.col("size") <= small_group).repartition(tasks, "meet")
             other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
-            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w"))
+            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w", "size", "meet"))
             finished = finished.union(small.select("meet", "v"))
-        pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # A pair that meets in several groups is compared in the largest, where most others are.
+        pairs = pairs.toDF("a", "b", "size", "near").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct("size", "near"))["near"].alias("near"))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         # Earlier rounds are read again as files, so that plans do not grow with the rounds.
         pairs = stored(pairs, seen)
-        compared = spark.read.parquet(*seen)
+        compared = spark.read.parquet(*seen).select("a", "b")
         used = written(finished.distinct() if used is None else used.union(finished).distinct(), "used")
         if stored(confirm(pairs), linked).take(1) or roots is None:
             roots = written(components(spark.read.parquet(*linked)), "roots")

@@ -16,11 +16,17 @@ and larger ones take their next member as centre, round after round, until no
 group has an uncompared pair across components. So no path between documents
 is lost, and a group that hangs together costs one comparison a member.
 
+Registers and sets go to where a group's pairs are compared, once for each of its
+members instead of once for each pair.
+
 Defined results: a null, empty or blank text has an empty set, is linked with
 nothing and is a component of its own; fewer words than a shingle make one
-shingle; repeated rows are linked and each gets the same result; rows of a null
-id take part, but a component is named by its smallest non-null id; other
-columns are ignored or kept as they are.
+shingle; repeated rows are linked and each gets the same result; rows of one id
+with different texts are members of their own, and of those only the texts of
+one set stay in a component; equal rows of one id stay or go together; rows of a null
+id take part and have ``kept`` false, but a component is named by its smallest
+non-null id and :func:`keep_one` removes none of them; other columns are ignored
+or kept as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from tracelake.llm.components import SMALL_GROUP, grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
 EMPTY = 0xFFFF
+#: Bytes of sets that a task holds for one group's comparisons.
+NEAR_BYTES = 1 << 26
 _CHUNK = 1 << 20
 
 _r = np.random.default_rng(123456789)
@@ -140,7 +148,8 @@ def band_keys(registers: np.ndarray, n: int, percent: int) -> np.ndarray:
     empty = (bands == EMPTY).sum(1)
     size = int(np.log(n) / np.log(100 / percent)) if percent < 100 else n
     weak = keys[(empty > 0) & (empty < ROWS)]
-    return np.concatenate([keys[empty == 0], mix64(weak + np.uint64(size) * _KEYS[7]), mix64(weak + np.uint64(size + 1) * _KEYS[7])]).view(np.int64)
+    own, next_one = np.array([size, size + 1], np.uint64) * _KEYS[7]
+    return np.concatenate([keys[empty == 0], mix64(weak + own), mix64(weak + next_one)]).view(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
@@ -149,7 +158,7 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, print, registers`` of every document."""
+    """``doc_id, text_key, n, print, registers, b0, b1`` of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -157,9 +166,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             registers = [sketch(s) for s in sets]
             bits = np.array([marks(r) for r in registers], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets)], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "n", "print", "registers", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets)], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "text_key", "n", "print", "registers", "b0", "b1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary, b0 long, b1 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, n long, print binary, registers binary, b0 long, b1 long")
 
 
 def _bands(classes: DataFrame, percent: int) -> DataFrame:
@@ -195,20 +204,52 @@ def _may_link(percent: int):
     return test
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate does not rule out the threshold."""
-    side = lambda x: classes.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+def _compared(pairs: DataFrame, values: DataFrame, decide) -> DataFrame:
+    """Pairs that ``decide`` keeps, by the ``value`` and size ``n`` of both ends (``values``: ``v, n, value``).
+
+    A value is sent once to each ``near`` in which its node has a pair.
+    """
+    tasks = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = pairs.select("near", F.col("a").alias("v")).union(pairs.select("near", F.col("b").alias("v"))).distinct().join(values, "v")
+    rows = ends.select("near", "v", F.lit(None).cast("long").alias("b"), "n", "value").union(pairs.select("near", "a", "b", F.lit(None).cast("long"), F.lit(None).cast("binary")))
+    met = rows.repartition(tasks, "near").sortWithinPartitions("near", F.col("b").isNotNull(), "v")
 
     def run(batches):
+        now, held = None, {}
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.array([np.frombuffer(r, np.uint16) for r in batch.column(c).to_pylist()]) for c in ("r_a", "r_b"))
-                j, error = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                keep = pa.array(j >= percent / 100 - SIGMAS * error)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+            near, v, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("near", "v", "b"))
+            pair = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((near[1:] != near[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(near)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if near[lo] != now:
+                    now, held = near[lo], {}
+                if not pair[lo]:
+                    n, values = batch.column("n"), batch.column("value")
+                    held.update((int(v[i]), (n[i].as_py(), values[i].as_py())) for i in range(lo, hi))
+                    continue
+                x, y = v[lo:hi].astype(np.int64), b[lo:hi].astype(np.int64)
+                keep = np.flatnonzero(decide([held[i] for i in x.tolist()], [held[i] for i in y.tolist()]))
+                if len(keep):
+                    yield pa.RecordBatch.from_pydict({"a": x[keep], "b": y[keep], "near": np.full(len(keep), now, np.int64)})
+
+    return met.mapInArrow(run, "a long, b long, near long")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose estimate does not rule out the threshold."""
 
-    return met.mapInArrow(run, "a long, b long")
+    def decide(left, right):
+        keep = []
+        for i in range(0, len(left), 1 << 14):
+            x, y = left[i : i + (1 << 14)], right[i : i + (1 << 14)]
+            a, b = (np.frombuffer(b"".join(r for _, r in side), np.uint16).reshape(len(side), -1) for side in (x, y))
+            j, error = estimate(a, b, np.array([n for n, _ in x]), np.array([n for n, _ in y]))
+            keep.append(j >= percent / 100 - SIGMAS * error)
+        return np.concatenate(keep)
+
+    return _compared(pairs, classes.select("v", "n", F.col("registers").alias("value")), decide)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -226,27 +267,46 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return hashed.mapInArrow(run, "print binary, shingles binary").join(needed.select("print", "v"), "print").dropDuplicates(["v"]).select("v", "shingles")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold."""
-    met = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("s_a")), "a")
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    if len(x) < len(y):
+        x, y = y, x
+    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    common = int((x[place] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = NEAR_BYTES) -> DataFrame:
+    """Pairs whose full sets meet the threshold.
+
+    Where a group's sets are larger than a task should hold, its pairs are joined one by one.
+    """
+    ends = pairs.select("near", F.col("a").alias("v")).union(pairs.select("near", F.col("b").alias("v"))).distinct()
+    large = ends.join(sets.select("v", F.length("shingles").alias("bytes")), "v").groupBy("near").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > most_bytes).select("near")
+    large = written(large, "large")
+    light = pairs.join(large, "near", "left_anti").select("a", "b", "near")
+
+    def decide(left, right):
+        return np.array([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for (_, x), (_, y) in zip(left, right)])
+
+    found = _compared(light, sets.select("v", F.length("shingles").cast("long").alias("n"), F.col("shingles").alias("value")), decide).select("a", "b")
+    if not large.take(1):
+        return found
+    met = pairs.join(large, "near", "left_semi").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("s_a")), "a")
 
     def run(batches):
         for batch in batches:
-            keep, last, held = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("s_a"), batch.column("s_b")):
-                if a != last:
-                    last, held = a, np.frombuffer(x.as_buffer(), np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.minimum(np.searchsorted(held, other), len(held) - 1)
-                common = int((held[place] == other).sum())
-                keep.append(100 * common >= percent * (len(held) + len(other) - common))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("s_a"), batch.column("s_b"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return found.union(met.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
 
 def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = SMALL_GROUP) -> DataFrame:
-    """``doc_id, n_shingles, print, component_id`` of every document (``print`` names its set)."""
+    """``doc_id, text_key, n_shingles, print, component_id, first`` of every document.
+
+    ``print`` names its set; ``first`` says whether id and set are those that name the component.
+    """
     signed = written(signatures(docs, width), "signatures")
     classes = written(
         signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("b0").alias("b0"), F.first("b1").alias("b1")).withColumn("v", F.monotonically_increasing_id()),
@@ -266,9 +326,11 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = written(rooted.select("print", "doc_id", "root"), "rooted")
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(names, "root").select("print", "component_id")
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "print").join(named, "print", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n_shingles", "print", "component_id")
+    names = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("print").alias("own"))).alias("least"))
+    named = rooted.join(names, "root").select("print", F.col("least.doc_id").alias("component_id"), F.col("least.own").alias("own"))
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "print").join(named, "print", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    first = F.col("print").isNull() | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("print") == F.col("own")), F.lit(False))
+    return out.select("doc_id", "text_key", "n_shingles", "print", "component_id", first.alias("first"))
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -278,5 +340,5 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that name their component, with their columns as they are; rows of a null id stay."""
-    gone = near_copies(docs, width, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = find(docs, width, percent).where(~F.col("first") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"]), "left_anti").select(*[docs[c] for c in docs.columns])
