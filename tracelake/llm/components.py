@@ -62,38 +62,40 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
     uncompared pair across components; so the components are those of all links.
     """
     sizes = members.groupBy("meet").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "meet")
-    members = written(sized.join(sized.groupBy("v").agg(F.sum("size").alias("weight")), "v"), "weighted")
-    roots = compared = used = None
-    tasks = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = written(members.join(sizes, "meet"), "sized")
+    weights = sized.groupBy("v").agg(F.sum("size").alias("weight"))
     spark, seen, linked = members.sparkSession, [], []
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def stored(df, paths):
         paths.append(shared_dir(spark, "round"))
         df.write.parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
+    # Groups that may still hold an uncompared pair across components; only these are looked at again.
+    left = sized.join(weights, "v").withColumn("fresh", F.lit(True))
+    roots = compared = None
     while True:
-        now = members.withColumn("root", F.col("v")) if roots is None else members.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        now = now.withColumn("done", F.lit(False)) if used is None else now.join(used.withColumn("done", F.lit(True)), ["meet", "v"], "left")
-        fresh = ~F.coalesce("done", F.lit(False))
-        heads = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(fresh).alias("fresh")).where((F.col("low") < F.col("high")) & (F.col("fresh") > 0))
-        active = written(now.select("meet", "v", "mark", "root", "size", "weight", fresh.alias("fresh")).join(heads.select("meet"), "meet"), "active")
+        now = left.withColumn("root", F.col("v")) if roots is None else left.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        if roots is None:
+            active = written(now, "active")
+        else:
+            mixed = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("fresh").alias("fresh")).where((F.col("low") < F.col("high")) & (F.col("fresh") > 0))
+            active = written(now.join(mixed.select("meet"), "meet", "left_semi"), "active")
         if not active.take(1):
             return roots if roots is not None else active.select(F.col("v").alias("node"), "root")
         # In the first round every group has one centre; later, small groups are exhausted at once and larger ones take several.
         large, most = (active, 1) if roots is None else (active.where(F.col("size") > small_group), centres)
         order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
         heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("mark").alias("m"))
+        heads = written(heads, "centres")
         part = F.xxhash64("meet", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / small_group)))
         pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v", "size", part.alias("near"))
-        finished = heads.select("meet", F.col("centre").alias("v"))
         if roots is not None:
             # A stated number of tasks: few bytes make many comparisons, and the adaptive planner goes by bytes.
             small = active.where(F.col("size") <= small_group).repartition(tasks, "meet")
             other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
             pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w", "size", "meet"))
-            finished = finished.union(small.select("meet", "v"))
         # A pair that meets in several groups is compared in the largest, where most others are.
         pairs = pairs.toDF("a", "b", "size", "near").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct("size", "near"))["near"].alias("near"))
         if compared is not None:
@@ -101,6 +103,7 @@ def grouped_components(members: DataFrame, confirm, may_link, small_group: int =
         # Earlier rounds are read again as files, so that plans do not grow with the rounds.
         pairs = stored(pairs, seen)
         compared = spark.read.parquet(*seen).select("a", "b")
-        used = written(finished.distinct() if used is None else used.union(finished).distinct(), "used")
+        rest = large.join(heads.select("meet", F.col("centre").alias("v"), F.lit(True).alias("used")), ["meet", "v"], "left")
+        left = rest.withColumn("fresh", F.col("fresh") & F.col("used").isNull()).select(*members.columns, "size", "weight", "fresh")
         if stored(confirm(pairs), linked).take(1) or roots is None:
             roots = written(components(spark.read.parquet(*linked)), "roots")

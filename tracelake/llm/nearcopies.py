@@ -2,8 +2,10 @@
 
 A document's set of word shingles is hashed to 64 bits a shingle. Its sketch
 splits the hashes into ``REGISTERS`` buckets and keeps of each bucket's smallest
-hash the count of leading zeros and ``MANTISSA`` bits after the leading one.
-Documents of equal sets form one class at once. Class representatives meet where
+hash the count of leading zeros and ``MANTISSA`` bits after the leading one. An
+empty bucket borrows from the first bucket that is not, in an order of its own,
+so that short texts have as many registers as long ones, each still equal with
+the sets' similarity as its probability. Documents of equal sets form one class at once. Class representatives meet where
 a band of ``ROWS`` registers agrees; a pair goes on if its collision-corrected
 Jaccard estimate lies within ``SIGMAS`` standard errors of the threshold or
 above; then the full sets decide.
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
@@ -52,6 +54,8 @@ _WHITE[[32, *range(9, 14)]] = True
 _BYTE[_WHITE] = 0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_ORDER = np.array([np.random.default_rng([7, i]).permutation(REGISTERS) for i in range(REGISTERS)])
+_BITS = np.random.default_rng(8).integers(1, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE, _KEYS = np.uint64(0x9E3779B97F4A7C15), _r.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -119,37 +123,32 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     zeros = np.minimum(53 - exponent, 53)
     # The mantissa's bits follow the leading one.
     mantissa = (rest << (zeros + 12).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out[bucket[first]] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | np.where(rest == 0, 0, mantissa).astype(np.uint16)
+    held = bucket[first]
+    out[held] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | np.where(rest == 0, 0, mantissa).astype(np.uint16)
+    if 0 < len(held) < REGISTERS:
+        full = np.zeros(REGISTERS, bool)
+        full[held] = True
+        lacking = np.flatnonzero(~full)
+        out[lacking] = out[_ORDER[lacking, full[_ORDER[lacking]].argmax(1)]]
     return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard of sketch rows, and its standard error at the 0.8 to 0.85 range."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(filled.sum(1), 1)
-    same = ((a == b) & filled).sum(1)
+    same = (a == b).mean(1)
     ratio = n_a / n_b
-    chance = 0.169919487159739 * n * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
-    return (same - chance) / n, np.sqrt(0.16 / n)
+    chance = 0.169919487159739 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
+    return same - chance, np.full(len(a), np.sqrt(0.16 / REGISTERS))
 
 
-def band_keys(registers: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """Keys of the bands that are not all empty.
-
-    A band with an empty register says little, so its key also holds the set's
-    size: linked sets lie in one or two neighbouring classes of size, and each
-    such band is filed under both.
-    """
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """One key for each band of ``ROWS`` registers."""
     bands = registers.reshape(-1, ROWS)
     packed = np.zeros(len(bands), np.uint64)
     for i in range(ROWS):
         packed |= bands[:, i].astype(np.uint64) << np.uint64(16 * i)
-    keys = mix64(packed * _KEYS[3] + np.arange(len(bands), dtype=np.uint64) * _KEYS[4])
-    empty = (bands == EMPTY).sum(1)
-    size = int(np.log(n) / np.log(100 / percent)) if percent < 100 else n
-    weak = keys[(empty > 0) & (empty < ROWS)]
-    own, next_one = np.array([size, size + 1], np.uint64) * _KEYS[7]
-    return np.concatenate([keys[empty == 0], mix64(weak + own), mix64(weak + next_one)]).view(np.int64)
+    place = np.arange(len(bands), dtype=np.uint64) % np.uint64(REGISTERS // ROWS)
+    return mix64(packed * _KEYS[3] + place * _KEYS[4]).view(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
@@ -171,20 +170,21 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, n long, print binary, registers binary, b0 long, b1 long")
 
 
-def _bands(classes: DataFrame, percent: int) -> DataFrame:
+def _bands(classes: DataFrame) -> DataFrame:
+    """``meet, v, mark`` rows: a class under the key of each of its bands."""
+    each = REGISTERS // ROWS
+
     def run(batches):
         for batch in batches:
-            n = batch.column("n").to_pylist()
-            keys = [band_keys(np.frombuffer(r, np.uint16), m, percent) for r, m in zip(batch.column("registers").to_pylist(), n)]
-            counts = [len(k) for k in keys]
-            yield pa.RecordBatch.from_pydict({"meet": np.concatenate(keys) if keys else np.zeros(0, np.int64), "v": np.repeat(batch.column("v").to_numpy(), counts)})
+            keys = band_keys(np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16))
+            yield pa.RecordBatch.from_pydict({"meet": keys} | {c: np.repeat(batch.column(c).to_numpy(), each) for c in ("v", "n", "b0", "b1")})
 
-    return classes.select("v", "n", "registers").mapInArrow(run, "meet long, v long")
+    return classes.select("v", "registers", "n", "b0", "b1").mapInArrow(run, "meet long, v long, n long, b0 long, b1 long").select("meet", "v", F.struct("n", "b0", "b1").alias("mark"))
 
 
 def marks(registers: np.ndarray) -> np.ndarray:
-    """One bit of each register, as two 64-bit words."""
-    return np.packbits((registers & 1).astype(np.uint8)).view(np.int64)
+    """One bit of a hash of each register and its place, as two 64-bit words."""
+    return np.packbits(((registers * _BITS) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
 
 
 def _may_link(percent: int):
@@ -319,9 +319,10 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
         needed = written(classes.select("doc_id", "print", "v").join(ends, "v", "left_semi"), "needed")
         return _links(likely, written(_sets(docs, needed, width), "sets"), percent)
 
-    bands = _bands(classes, percent)
-    shared = bands.groupBy("meet").agg(F.count("*").alias("size")).where("size > 1").select("meet")
-    members = bands.join(shared, "meet").join(classes.select("v", F.struct("n", "b0", "b1").alias("mark")), "v")
+    # One sort by key serves both neighbours: a class stays where another one has the same key.
+    by_key = Window.partitionBy("meet").orderBy("v")
+    bands = _bands(classes).withColumn("before", F.lag("v").over(by_key)).withColumn("after", F.lead("v").over(by_key))
+    members = bands.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("meet", "v", "mark")
     roots = grouped_components(written(members, "members"), confirm, _may_link(percent), small_group)
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
