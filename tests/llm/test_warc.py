@@ -3,6 +3,7 @@ import io
 
 import pytest
 
+
 from tracelake.llm import warc
 
 
@@ -50,3 +51,17 @@ def test_pages_come_back_with_revisits(spark):
     assert warc.read_pages(warc.write_pages(pages.limit(0))).count() == 0
     some = {r.page_id: r.record_type for r in warc.read_pages(warc.write_pages(pages, least_bytes=5)).collect()}
     assert set(some.values()) == {"response"}
+
+
+def test_one_response_for_each_payload_however_often_its_row_is_there(spark):
+    rows = [(5, "same")] * 8 + [(6, "same"), (7, "same"), (7, "other"), (7, "other"), (9, None), (9, ""), (None, "same"), (None, "lone")]
+    for parts in (1, 8):
+        pages = spark.createDataFrame([(i, f"http://x/{i}", h, True) for i, h in rows], "page_id long, url string, html string, again boolean").repartition(parts)
+        got = warc.read_pages(warc.write_pages(pages)).collect()
+        assert len(got) == len(rows)
+        for payload in {r.payload_digest for r in got}:
+            own = [r for r in got if r.payload_digest == payload]
+            first = [r for r in own if r.record_type == "response"]
+            assert len(first) == 1 and first[0].refers_to is None
+            assert all(r.refers_to == first[0].page_id for r in own if r is not first[0])
+            assert first[0].page_id == min((r.page_id for r in own if r.page_id is not None), default=None)

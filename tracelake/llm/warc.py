@@ -254,26 +254,34 @@ def write_pages(pages: DataFrame, least_bytes: int = 0, out_dir: str | None = No
     salts = 16
     copies = keyed.where(F.col("n") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    marked = copies.join(spread, (F.col("sha1") == F.col("first_sha1")) & (copies["salt"] == spread["salt"]), "left_outer").select(F.col("page_id").alias("copy_id"), F.col("sha1").alias("copy_sha1"), "first").where(F.col("first").isNotNull()).distinct()
-    joined = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).join(marked, F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("sha1") == F.col("copy_sha1")), "left").select("page_id", "url", "payload", "first")
+    met = copies.join(spread, (F.col("sha1") == F.col("first_sha1")) & (copies["salt"] == spread["salt"])).select(F.col("page_id").alias("copy_id"), F.col("sha1").alias("copy_sha1"), "first")
+    marked = written(met.groupBy("copy_id", "copy_sha1", "first").agg(F.count("*").alias("rows")), "warc-copies")
+    named = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+    same_row = F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("sha1") == F.col("copy_sha1"))
+    # Rows equal in id and payload to a response are told apart by a number of their own, on a written table.
+    repeated = marked.where((F.col("rows") > 1) & (F.col("copy_id") == F.col("first")))
+    joined = named.join(marked, same_row, "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    columns = ("page_id", "url", "payload", "first", "again")
+    if repeated.take(1):
+        many = written(named.join(repeated, same_row).withColumn("number", F.monotonically_increasing_id()).select(*columns[:-1], "sha1", "number"), "warc-repeated")
+        least = many.groupBy(F.col("page_id").alias("least_id"), F.col("sha1").alias("least_sha1")).agg(F.min("number").alias("least"))
+        told = many.join(least, (F.col("page_id") == F.col("least_id")) & (F.col("sha1") == F.col("least_sha1"))).withColumn("again", F.col("number") != F.col("least"))
+        joined = joined.where(~F.coalesce((F.col("rows") > 1) & (F.col("page_id") == F.col("first")), F.lit(False))).select(*columns).union(told.select(*columns))
+    joined = joined.select(*columns)
 
     def run(batches):
         from pyspark import TaskContext
 
         target = f"{out_dir}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        n, out, seen = 0, None, set()
+        n, out = 0, None
         for batch in batches:
             out = out or open_shared(target, "w")
             for i in range(batch.num_rows):
-                page_id, url, payload, first = (batch.column(c)[i].as_py() for c in ("page_id", "url", "payload", "first"))
+                page_id, url, payload, first, again = (batch.column(c)[i].as_py() for c in columns)
                 version = 1 if (page_id or 0) % 2 == 0 else 2
                 raw = arc_version_block(version) + arc_record(version, payload, url=_url(page_id, url), status="200")
                 for head, body in read_arc(io.BytesIO(raw)):
                     own = digest(body)
-                    # Of rows equal in id and payload only the first one met is the response: they share a task.
-                    again = first is not None and (page_id != first or (page_id, own) in seen)
-                    if first is not None and page_id == first:
-                        seen.add((page_id, own))
                     extra = {"X-Page-Id": "" if page_id is None else str(page_id)} | ({"X-Refers-To-Page-Id": str(first)} if again else {})
                     out.write(gzip_member(warc_record(head, body, record_id("page", first, own) if again else None, extra, own, record_id("page", page_id, own, *["again"] * again))))
                     n += 1
