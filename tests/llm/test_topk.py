@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import topk
@@ -48,3 +51,25 @@ def test_bounds_leave_no_row_behind():
         for i in range(40):
             want = sorted(range(300), key=lambda j: (-exact[i, j], ids[j]))[:5]
             assert got[1][got[0] == i].tolist() == want
+
+
+@pytest.mark.parametrize("dim", [1, 3, 70])
+def test_components_of_any_size_take_part(spark, dim):
+    r = np.random.default_rng(dim)
+    rows = [(i, (r.normal(size=dim) * 10.0 ** r.integers(-2, 30)).tolist()) for i in range(60)] + [(i, r.normal(size=dim).tolist()) for i in range(60, 120)]
+    rows += [(200, [3e5] * dim), (201, [3e5] * dim), (202, [float("inf")] * dim), (203, [2.0**60] * dim), (204, [-(2.0**70)] * dim), (205, [1e300] * dim), (206, [-1e300] * dim), (205, [1e300] * dim)]
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(x * 256) for x in v] for i, v in rows if i != 202}
+    kept = [(i, whole[i]) for i, _ in rows if i != 202]
+    want = []
+    for q, v in kept:
+        if q % 2 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, o)), i) for i, o in kept if i != q)
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -x))) for n, (x, i) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 2 == 0, 5, query_block=8, row_block=16)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_large_component_is_no_reason_to_be_left_out(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [300000.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 1).collect()] == [(0, 1, 1, 256 * 256 * 300002)]
