@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tracelake.llm import language, queries
 
@@ -43,3 +44,18 @@ def test_a_text_is_scored_alike_alone_and_among_others():
     assert np.allclose(together, alone)
     bags = np.array([model.table[:, language._bag(t)[0]] @ language._bag(t)[1] + model.bias for t in texts])
     assert np.allclose(together, bags, atol=1e-5)
+
+
+def test_ranges_of_a_very_long_text_count_each_gram_once(monkeypatch):
+    model = language.train([(f"the house and the tree {i}", "en") for i in range(30)] + [(f"das haus und der baum {i}", "de") for i in range(30)])
+    texts = ["the tree stands by the house " * 40, "der baum steht am haus", "x", ""]
+    whole = model.logits(texts)
+    monkeypatch.setattr(language, "_CHUNK", 50)
+    assert np.allclose(model.logits(texts), whole, rtol=0, atol=1e-12)
+
+
+def test_labels_that_are_no_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.fit(docs)

@@ -37,7 +37,7 @@ from tracelake.llm.common import slices
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SAMPLE_PER_LANGUAGE, EPOCHS, RATE, SEED = 600, 6, 0.5, 20240
 HIGHEST_THRESHOLD = 0.5
-#: A label set beyond this is not one of languages.
+#: A label set beyond this is refused: it is not one of languages.
 MOST_LANGUAGES = 1000
 _CHUNK = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -58,17 +58,11 @@ class Model:
         self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Mean logits of each text; a text of any length is read whole, piece by piece."""
+        """Mean logits of each text, over all of it."""
         out = np.zeros((len(texts), len(self.languages)))
         for start, stop in slices([len(t) for t in texts], _CHUNK):
             part = texts[start:stop]
-            if len(part) == 1 and len(part[0]) > 2 * _CHUNK:
-                # Pieces overlap by the longest gram less one, and grams inside the overlap are counted twice: a few in a million.
-                pieces = [part[0][i : i + _CHUNK + max(ORDERS) - 1] for i in range(0, len(part[0]), _CHUNK)]
-                sums = [self._sums([p]) for p in pieces]
-                total, count = sum(s for s, _ in sums), sum(c for _, c in sums)
-            else:
-                total, count = self._sums(part)
+            total, count = self._sums(part)
             out[start:stop] = total / np.maximum(count, 1)[:, None]
         return out + self.bias
 
@@ -81,20 +75,20 @@ class Model:
         keep = np.ones(len(points), bool)
         keep[1:] = (points[1:] != 32) | (points[:-1] != 32) | (owner[1:] != owner[:-1])
         points, owner = points[keep], owner[keep]
+        # Very long texts are hashed in ranges of gram starts, each gram in one of them.
         for n in ORDERS:
-            h = _hashes(points, n)
-            if h is None:
-                continue
-            own = owner[: len(h)]
-            inside = own == owner[n - 1 :]
-            h, own = h[inside], own[inside]
-            starts = np.searchsorted(own, np.arange(len(texts)))
-            sizes = np.diff(np.append(starts, len(h)))
-            has = sizes > 0
-            if has.any():
-                for k in range(len(self.languages)):
-                    total[has, k] += np.add.reduceat(self.table[k].take(h), starts[has], dtype=np.float64)
-            count += sizes
+            for lo in range(0, len(points) - n + 1, 2 * _CHUNK):
+                h = _hashes(points[lo : lo + 2 * _CHUNK + n - 1], n)
+                own, last = owner[lo : lo + len(h)], owner[lo + n - 1 : lo + n - 1 + len(h)]
+                inside = own == last
+                h, own = h[inside], own[inside]
+                starts = np.searchsorted(own, np.arange(len(texts)))
+                sizes = np.diff(np.append(starts, len(h)))
+                has = sizes > 0
+                if has.any():
+                    for k in range(len(self.languages)):
+                        total[has, k] += np.add.reduceat(self.table[k].take(h), starts[has], dtype=np.float64)
+                count += sizes
         return total, count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -198,7 +192,9 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, **param
     limit holds where repeated rows would pass it.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels are no languages")
     if not counts:
         return train([])
     scale = 1 << 30
