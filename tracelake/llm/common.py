@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests, one machine) is a temporary
-    folder of this machine taken instead.
+    Where that setting is absent, a local session (all of whose tasks run on this
+    machine) takes a temporary folder and a cluster is refused one. The session's
+    setting itself is never changed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tracelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'tracelake-' + spark.sparkContext.applicationId)}"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

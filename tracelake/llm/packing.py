@@ -5,9 +5,7 @@ The remainders are packed in groups of about ``GROUP`` documents; a document's
 group is drawn at random (a hash of its place among the rows of its task, so no
 key can be hot). In a group, pieces go by falling length into the first bin
 with room, which a tournament tree over the bins' free space finds in
-logarithmic time. A group's last bins may be left half empty; as a sequence
-needs no padding at a power of two, the packer moves pieces between its two
-emptiest bins only if that saves padding.
+logarithmic time. A group's last bins may be left partly empty.
 
 Tokens come from a public tokenizer file, whose path is a parameter. Most text
 is looked up by blank-separated chunk: byte-level BPE of this family never
