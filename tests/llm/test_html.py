@@ -72,3 +72,49 @@ def test_hosts_decide_where_no_article_is_marked(spark):
         assert len(got) == len(rows)
         assert {x.page_id: x.text for x in got} == want
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def _unique(pages, long=8):
+    """By comparing every page of a host with every other."""
+    distinct = sorted(set(map(tuple, pages)))
+    streams = {p: [t for b in p for t in b.split()] for p in distinct}
+    out = []
+    for p in pages:
+        own, others = streams[tuple(p)], [q for q in distinct if q != tuple(p)]
+        windows = {tuple(streams[q][i : i + long]) for q in others for i in range(len(streams[q]) - long + 1)}
+        blocks = {b for q in others for b in q}
+        gone = set()
+        for i in range(len(own) - long + 1):
+            if tuple(own[i : i + long]) in windows:
+                gone |= set(range(i, i + long))
+        kept, at = [], 0
+        for b in p:
+            n = len(b.split())
+            if not (n < long and b in blocks):
+                kept += [own[i] for i in range(at, at + n) if i not in gone]
+            at += n
+        out.append(" ".join(kept or own))
+    return out
+
+
+def test_query_on_pages_without_an_article_against_brute_force(spark, tmp_path):
+    """The whole query, with hosts of any number of groups: results do not depend on them."""
+    r = np.random.default_rng(12)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 3))
+    phrases = [" ".join(word() for _ in range(int(r.integers(3, 25)))) for _ in range(25)]
+    rows = []
+    for i in range(120):
+        blocks = [" ".join([*(word() for _ in range(int(r.integers(0, 12)))), *([phrases[r.integers(25)]] if r.random() < 0.5 else []), *(word() for _ in range(int(r.integers(1, 12))))]) for _ in range(int(r.integers(1, 6)))]
+        rows.append((i, f"http://h{i % 3}.example/{i}", blocks))
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    html_rows = [(i, u, "".join(f"<p>{b}</p>" for b in bs)) for i, u, bs in rows]
+    spark.createDataFrame(html_rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = {}
+    for host in range(3):
+        own = [(i, bs) for i, u, bs in rows if f"//h{host}." in u]
+        want |= dict(zip([i for i, _ in own], _unique([bs for _, bs in own])))
+    got = queries.op8_html(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {x.page_id: x.text for x in got} == want
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    for limits in ({"group_pages": 3}, {"group_tokens": 150}):
+        assert {x.page_id: x.text for x in html.extract(pages, **limits).collect()} == want

@@ -8,15 +8,18 @@ them, even where other pages repeat them: a quoted passage is still content.
 
 Where a page marks no article, the host's pages decide. The token streams of
 the undecided pages of a host are joined, a suffix array over them finds every
-stretch of ``LONG`` tokens or more that also occurs on another page, and a block
-that such stretches cover is boilerplate; what is unique stays. A host of any
-size is cut into groups of pages by a hash, so that no task holds a whole host;
-a site's boilerplate recurs in every group.
+stretch of ``LONG`` tokens or more that also occurs on another page; these
+stretches are boilerplate and go, and the unique runs between them stay. A block
+of fewer tokens goes if another page has the very same one. A host of any size
+is cut into groups of bounded tokens by a hash of the pages' blocks. What recurs
+across groups is found by hashes of all windows of ``LONG`` tokens and of the
+short blocks, so that results do not depend on the groups.
 
 Defined results: a null, empty or markup-free page gives the text left after
 the same steps (empty if none); broken markup never fails: unclosed elements end
 with their parent; pages of the same blocks are one row each but count as one
-page, not as two that share boilerplate; a null URL is a host of its own; very
+page, not as two that share boilerplate; a page all of whose tokens other pages
+have keeps its blocks; a null URL is a host of its own; very
 long pages are read whole.
 """
 
@@ -27,12 +30,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import written
+from tracelake.llm.common import mix64, written
 
-LONG, GROUP_PAGES, SHARE = 8, 2000, 0.5
+LONG, GROUP_PAGES, GROUP_TOKENS = 8, 2000, 2_000_000
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/!?][^>]*\Z|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is no markup; each ends at its own end tag only.
@@ -70,7 +75,6 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     """Text blocks outside of furniture, and whether they are those of a marked article."""
     if not page:
         return [], False
-    page = page.replace("\x00", "")
     stack: list[tuple[str, bool, int]] = []  # tag, excluded, 2 in an article, 1 in the main part, else 0
     all_blocks: list[tuple[str, int]] = []
     current: list[str] = []
@@ -162,22 +166,14 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in the order."""
-    n = len(codes)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    out, h, c = np.zeros(n, np.int64), 0, codes.tolist()
-    order, rank = order.tolist(), rank.tolist()
-    for i in range(n):
-        if rank[i]:
-            j = order[rank[i] - 1]
-            while i + h < n and j + h < n and c[i + h] == c[j + h]:
-                h += 1
-            out[rank[i]] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
+def agreeing(codes: np.ndarray, order: np.ndarray, long: int) -> np.ndarray:
+    """Whether each suffix has its first ``long`` codes in common with the one before it in the order."""
+    out = np.zeros(len(order), bool)
+    fits = np.flatnonzero(np.maximum(order[1:], order[:-1]) + long <= len(codes))
+    same = np.ones(len(fits), bool)
+    for k in range(long):
+        same &= codes[order[1:][fits] + k] == codes[order[:-1][fits] + k]
+    out[1:][fits] = same
     return out
 
 
@@ -193,9 +189,8 @@ def shared_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarray
     if not len(codes):
         return []
     order = suffix_array(codes)
-    common = common_prefixes(codes, order)
     # Runs of suffixes that agree on ``long`` tokens; a run is shared if it has two pages.
-    run = np.cumsum(common < long) - 1
+    run = np.cumsum(~agreeing(codes, order, long)) - 1
     pages = owner[order]
     low, high = np.full(run[-1] + 1, len(streams)), np.full(run[-1] + 1, -1)
     np.minimum.at(low, run, pages)
@@ -209,27 +204,42 @@ def shared_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarray
     return [covered[e - len(s) - 1 : e - 1] for e, s in zip(ends, streams)]
 
 
-def unique_blocks(pages: list[list[str]], long: int = LONG) -> list[list[str]]:
-    """Each page's blocks but those that stretches shared with other pages cover by more than ``SHARE``.
+def window_hashes(page: list[str], long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's windows of ``long`` tokens, and one for each block: its own if it is short, else 0."""
+    tokens = np.array([xxhash.xxh64_intdigest(t) for b in page for t in b.split()], np.uint64)
+    n = max(len(tokens) - long + 1, 0)
+    windows = np.zeros(n, np.uint64)
+    for k in range(long):
+        windows = mix64(windows * _SALT + tokens[k : k + n])
+    short = np.array([xxhash.xxh64_intdigest(b, 1) if len(b.split()) < long else 0 for b in page], np.uint64)
+    return windows.view(np.int64), short.view(np.int64)
+
+
+def unique_runs(pages: list[list[str]], elsewhere: np.ndarray | None = None, long: int = LONG) -> list[str]:
+    """Each page's text without the stretches it shares with other pages.
 
-    A block of fewer than ``long`` tokens is boilerplate if another page has the very
-    same block. A page that would be left empty (a copy of others) keeps its blocks.
+    ``elsewhere`` are sorted hashes that pages beyond this list share with these.
     """
     streams = [[t for b in page for t in b.split()] for page in pages]
-    holders: dict[str, set[int]] = {}
-    for i, page in enumerate(pages):
-        for b in page:
-            holders.setdefault(b, set()).add(i)
+    holders: dict[str, int] = {}
+    for page in pages:
+        for b in set(page):
+            holders[b] = holders.get(b, 0) + 1
     out = []
-    for page, covered in zip(pages, shared_tokens(streams, long)):
+    for page, stream, covered in zip(pages, streams, shared_tokens(streams, long)):
+        gone = [len(b.split()) < long and holders[b] > 1 for b in page]
+        if elsewhere is not None and len(elsewhere):
+            windows, short = window_hashes(page, long)
+            for at in np.flatnonzero(np.isin(windows, elsewhere)).tolist():
+                covered[at : at + long] = True
+            gone = [g or bool(h) for g, h in zip(gone, np.isin(short, elsewhere) & (short != 0))]
         kept, at = [], 0
-        for b in page:
+        for b, drop in zip(page, gone):
             n = len(b.split())
-            share = covered[at : at + n].mean() if n else 0
+            if not drop:
+                kept += [t for t, c in zip(stream[at : at + n], covered[at : at + n]) if not c]
             at += n
-            if not (share > SHARE or n < long and len(holders[b]) > 1):
-                kept.append(b)
-        out.append(kept or page)
+        out.append(" ".join(kept or stream))
     return out
 
 
@@ -237,7 +247,7 @@ def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, blocks array<string>"
@@ -254,15 +264,30 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     parsed = written(pages.select("page_id", "url", "html").mapInArrow(structure, schema), "html-blocks")
     decided = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
     rest = parsed.where(F.col("text").isNull()).withColumn("host", F.when(F.col("url").isNull(), F.concat(F.lit("?"), F.col("page_id").cast("string"))).otherwise(_host(F.col("url"))))
-    sizes = rest.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups"))
-    grouped = rest.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-
-    def unrepeated(table):
-        held = [tuple(b) for b in table.column("blocks").to_pylist()]
-        distinct = {b: i for i, b in enumerate(dict.fromkeys(held))}
-        kept = unique_blocks([list(b) for b in distinct])
-        text = [" ".join(kept[distinct[b]]) for b in held]
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(text, pa.string())})
-
-    from_hosts = grouped.groupBy("host", "part").applyInArrow(unrepeated, f"page_id {kind}, url string, text string")
+    joined = F.array_join("blocks", "\n")
+    rest = rest.withColumn("key", F.md5(joined.cast("binary")))
+    distinct = rest.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
+    counted = distinct.withColumn("tokens", F.regexp_count(F.array_join("blocks", " "), F.lit(r"\s+")) + 1)
+    sizes = counted.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / group_pages), F.ceil(F.sum("tokens") / group_tokens)).alias("groups"))
+    grouped = written(distinct.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("key"), F.col("groups"))), "html-hosts")
+
+    def hashed(batches):
+        for batch in batches:
+            for host, part, page in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "blocks"))):
+                found = np.unique(np.concatenate(window_hashes(page)))
+                found = found[found != 0]
+                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(found), pa.string()), "part": np.full(len(found), part, np.int64), "hash": found})
+
+    windows = grouped.where("groups > 1").select("host", "part", "blocks").mapInArrow(hashed, "host string, part long, hash long")
+    across = windows.groupBy("host", "hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    elsewhere = windows.join(across.select("host", "hash"), ["host", "hash"], "left_semi").distinct()
+
+    def unrepeated(table, hashes):
+        if not table.num_rows:
+            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        text = unique_runs(table.column("blocks").to_pylist(), np.sort(hashes.column("hash").to_numpy()))
+        return pa.table({"host": table.column("host"), "key": table.column("key"), "text": pa.array(text, pa.string())})
+
+    texts = grouped.select("host", "part", "key", "blocks").groupBy("host", "part").cogroup(elsewhere.groupBy("host", "part")).applyInArrow(unrepeated, "host string, key string, text string")
+    from_hosts = rest.select("page_id", "url", "host", "key").join(texts, ["host", "key"]).select("page_id", "url", "text")
     return decided.unionByName(from_hosts).withColumn("n_chars", F.length("text").cast("long"))
