@@ -61,3 +61,27 @@ def test_model_spans_long_candidates_and_redaction(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[1] == "use [SECRET] now" and clean[4] == "[SECRET]" and clean[2] is None
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_network_finds_secrets_planted_in_the_tables_own_texts(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and length(text) < 5000").collect()]
+    found, alarms, n = 0, 0, [0, 0]
+    for text, start, end, label in secrets.planted(texts, 800):
+        hit = any(s < end and e > start for s, _, e in secrets.scan_text(text, secrets.network()))
+        n[label] += 1
+        found, alarms = found + (hit and label), alarms + (hit and not label)
+    assert found / n[1] >= 0.95 and alarms / n[0] <= 0.05
+
+
+def test_candidates_are_all_characters_that_no_rule_has():
+    key = "qWzRtYpLkJhGfDsAxCvBnMqWeRtYuIoPaSdFgH"
+    net = secrets.network()
+    assert secrets.scan_text(f"the {key} is", net) == [(4, 3, 42)]
+    for text in (f"AKIA{'A' * 16} {key}", f"{key}/{'0123456789abcdef' * 2}/{key}", f"token={key}"):
+        spans = secrets.scan_text(text, net)
+        covered = {i for s, _, e in spans for i in range(s, e)}
+        at = text.index(key)
+        assert set(range(at, at + len(key))) <= covered, text
+        base = [(s, e) for s, k, e in spans if k < 3]
+        assert all(e <= s2 or s >= e2 for s, k, e in spans if k == 3 for s2, e2 in base)
+    assert secrets.scan_text("https://example.com/static/js/main.4f3a2b1c.chunk.js Donaudampfschifffahrtsgesellschaft", net) == []

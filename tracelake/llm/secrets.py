@@ -1,24 +1,26 @@
 """Secret scanning: three exact rules and a character convolutional network.
 
 The rules find assignments, access keys and long hexadecimal runs; the network
-scores every other candidate (a run of 16 or more token characters with a letter
-and a digit) in windows of its characters and the 16 before and after. A long
+scores every other candidate (16 or more token characters in a row that belong to
+no rule's span) in windows of its characters and the 16 before and after. A long
 candidate is scored window by window, all of it, and its highest score counts.
 
 The network (embedded characters, one convolution, maximum and mean over the
 window, a logistic output) is trained here in numpy on labelled findings that
 :func:`labelled` generates from a seed: credentials of common shapes in
 contexts where they leak, and benign runs such as host names, paths, numbers,
-identifiers and words. A part is kept back; on it a temperature calibrates the
+identifiers, digits and words. A part is kept back; on it a temperature calibrates the
 scores and the threshold is the highest one whose recall is at least ``RECALL``.
+:func:`planted` puts findings into given texts, as a second set to measure on.
 
 Rows are scanned as Latin-1 bytes with one byte for each code point, so byte
 positions are code point positions; what lies beyond Latin-1 is no token
 character either way.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-results; overlapping spans of different rules all stay; a candidate that
-touches a rule's span is not scored; other columns are ignored.
+results; overlapping spans of different rules all stay; base64 of anything is what a
+secret looks like and is reported; what lies beside a rule's
+span in the same run is a candidate of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from bisect import bisect_left
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,6 @@ LEAST, BODY, AROUND, RECALL = 16, 32, 16, 0.98
 WIDTH = BODY + 2 * AROUND
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
 
 def long_runs(text: bytes) -> list[tuple[int, int]]:
@@ -69,6 +65,22 @@ def rule_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int,
     return sorted(found)
 
 
+def candidates(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of runs outside of the rules' spans that have ``LEAST`` characters."""
+    out, i, reach = [], 0, 0
+    for start, end in runs:
+        at = max(start, min(reach, end))
+        while i < len(spans) and spans[i][0] < end:
+            if spans[i][0] - at >= LEAST:
+                out.append((at, spans[i][0]))
+            reach = max(reach, spans[i][2])
+            at = max(at, min(reach, end))
+            i += 1
+        if end - at >= LEAST:
+            out.append((at, end))
+    return out
+
+
 def windows(text: bytes, start: int, end: int) -> np.ndarray:
     """Windows of ``WIDTH`` codes that cover a candidate; 128 is added inside of it."""
     out = []
@@ -135,7 +147,7 @@ class Network:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
 
 
-def labelled(n: int = 3000, seed: int = 3) -> list[tuple[bytes, int, int, int]]:
+def labelled(n: int = 4000, seed: int = 3) -> list[tuple[bytes, int, int, int]]:
     """``(text, start, end, label)`` findings: half are credentials, half are not."""
     r = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -144,13 +156,13 @@ def labelled(n: int = 3000, seed: int = 3) -> list[tuple[bytes, int, int, int]]:
         return "".join(r.choice(list(alphabet), r.integers(lo, hi)))
 
     def word(lo=2, hi=9):
-        return "".join(r.choice(["an", "er", "th", "on", "re", "in", "ti", "es", "or", "en", "st", "ou", "ción", "ung", "é", "que"], r.integers(1, 4)))[:hi].encode("ascii", "ignore").decode() or "a"
+        return "".join(r.choice(["an", "er", "th", "on", "re", "in", "ti", "es", "or", "en", "st", "ou", "ción", "ung", "é", "que", "sch", "tz", "be", "keit", "lich", "pf", "ge", "men", "dor", "ee", "str", "mp", "gl", "wh", "bot", "ssa", "ck", "ry", "vi", "x"], r.integers(1, 4)))[:hi].encode("ascii", "ignore").decode() or "a"
 
     def words(k):
         return " ".join(word() for _ in range(k))
 
     def good():
-        kind = r.integers(0, 8)
+        kind = r.integers(0, 9)
         if kind == 0:
             return f"{r.choice(['ghp', 'gho', 'glpat', 'npm', 'xoxb', 'sk', 'pk_live', 'rk_live'])}{r.choice(['_', '-'])}{of(lower + upper + digits, 20, 44)}"
         if kind == 1:
@@ -165,10 +177,12 @@ def labelled(n: int = 3000, seed: int = 3) -> list[tuple[bytes, int, int, int]]:
             return of(upper + digits, 20, 40)
         if kind == 6:
             return of("ABCDEF0123456789", 32, 65)
+        if kind == 7:
+            return of(lower + upper, 28, 48)
         return of(lower + upper + digits, 20, 48)
 
     def bad():
-        kind = r.integers(0, 9)
+        kind = r.integers(0, 15)
         if kind == 0:
             return f"{word()}{r.integers(0, 99)}.{word()}{word()}.example.{r.choice(['com', 'org', 'net'])}"
         if kind == 1:
@@ -185,27 +199,50 @@ def labelled(n: int = 3000, seed: int = 3) -> list[tuple[bytes, int, int, int]]:
             return "-".join(word() for _ in range(r.integers(4, 8))) + f"-{r.integers(1, 3000)}"
         if kind == 7:
             return f"{'=' * int(r.integers(10, 30))}{r.integers(0, 9)}{word()}"
+        if kind == 8:
+            return f"//{word()}.example.com/static/{r.choice(['js', 'css', 'img'])}/{word()}.{of('0123456789abcdef', 8, 21)}.{r.choice(['chunk.js', 'min.js', 'css', 'png'])}"
+        if kind == 9:
+            return of(digits, LEAST, 25) + r.choice(["", "."])
+        if kind in (10, 11):
+            body = "".join(word() for _ in range(r.integers(3, 8)))
+            return r.choice([body, body, body.title(), body.upper()]) + r.choice(["", ".", "..."])
+        if kind == 12:
+            return word() + "".join(word().title() for _ in range(r.integers(3, 7)))
+        if kind == 13:
+            return "_".join(word().upper() for _ in range(r.integers(3, 7)))
         return "".join(word().title() for _ in range(r.integers(4, 8))) + str(r.integers(0, 99))
 
     rows = []
     while len(rows) < n:
         label = len(rows) % 2
         body = good() if label else bad()
-        if len(body) < LEAST or not re.search("[0-9]", body) or not re.search("[A-Za-z]", body):
-            body += of(digits, 8, 9) if not label else of(lower + digits, 16, 17) + "7a"
-            if len(body) < LEAST:
-                continue
+        while len(body) < LEAST:
+            body += of(lower + digits, 8, 17) if label else word()
         left = r.choice([" ", "=", '"', ": ", " '", "key ", "Bearer ", "\n", "-H ", "https:", "("])
         if not label and ".example." in body and r.integers(0, 2):
             left = f" {word()}.{r.integers(0, 99)}@"
         text = words(r.integers(0, 5)) + left + body + r.choice([" ", '"', "'", "\n", ",", ")", ";"]) + words(r.integers(0, 5))
-        at = text.index(body)
-        rows.append((text.encode("latin-1"), at, at + len(body), label))
+        raw, at = text.encode("latin-1"), text.index(body)
+        # A finding is the whole run, as in a scan.
+        start, end = next(x for x in long_runs(raw) if x[0] <= at < x[1])
+        rows.append((raw, start, end, label))
     return rows
 
 
+def planted(texts: list[str], n: int, seed: int = 99) -> list[tuple[str, int, int, int]]:
+    """``(text, start, end, label)``: findings of another seed, each between the words of one of the texts."""
+    r = np.random.default_rng(seed)
+    out = []
+    for raw, start, end, label in labelled(n, seed):
+        text = texts[r.integers(len(texts))]
+        blanks = [m.start() for m in re.finditer(" ", text)] or [0]
+        at = blanks[r.integers(len(blanks))]
+        out.append((f"{text[:at]} {raw[start:end].decode('latin-1')}{text[at:]}", at + 1, at + 1 + end - start, label))
+    return out
+
+
 @functools.cache
-def network(n: int = 3000, recall: float = RECALL) -> Network:
+def network(n: int = 4000, recall: float = RECALL) -> Network:
     """The trained network with its temperature and recall-constrained threshold."""
     data = labelled(n)
     aside = len(data) // 5
@@ -221,10 +258,9 @@ def network(n: int = 3000, recall: float = RECALL) -> Network:
         p = np.clip(1 / (1 + np.exp(-top / t)), 1e-9, 1 - 1e-9)
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    net.temperature = float(min(np.geomspace(1, 20, 60), key=loss))
+    net.temperature = float(min(np.geomspace(0.05, 20, 80), key=loss))
     positive = np.sort(1 / (1 + np.exp(-top[y == 1] / net.temperature)))
-    # Never under one half, where a finding is likelier no secret; nor so high that only the generated shapes pass.
-    net.threshold = float(np.clip(positive[int((1 - recall) * len(positive))], 0.5, 0.9))
+    net.threshold = float(positive[int((1 - recall) * len(positive))])
     return net
 
 
@@ -234,26 +270,20 @@ def scan_text(text: str | None, net: Network) -> list[tuple[int, int, int]]:
 
 
 def scan_texts(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
-    out, candidates, stacked = [], [], []
+    out, found, stacked = [], [], []
     for row, text in enumerate(texts):
         raw = (text or "").encode("latin-1", "replace")
         runs = long_runs(raw)
         spans = rule_spans(raw, runs)
         out.append(spans)
-        begins, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
-        for start, end in runs:
-            before = bisect_left(begins, end)
-            if before and reach[before - 1] > start:
-                continue
-            codes = np.frombuffer(raw, np.uint8, end - start, start)
-            if _DIGIT[codes].any() and _LETTER[codes].any():
-                w = windows(raw, start, end)
-                candidates.append((row, start, end, len(w)))
-                stacked.append(w)
-    if candidates:
+        for start, end in candidates(runs, spans):
+            w = windows(raw, start, end)
+            found.append((row, start, end, len(w)))
+            stacked.append(w)
+    if found:
         score = net.scores(np.concatenate(stacked))
         at = 0
-        for row, start, end, n in candidates:
+        for row, start, end, n in found:
             if score[at : at + n].max() >= net.threshold:
                 out[row].append((start, 3, end))
             at += n
