@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import shared_dir, written
 
-SMALL_GROUP, CENTRES = 256, 128
+SMALL_GROUP, CENTRES = 1024, 512
 
 
 def _both(edges: DataFrame) -> DataFrame:

@@ -171,15 +171,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``meet, v, mark`` rows: a class under the key of each of its bands."""
+    """``meet, v`` rows: a class under the key of each of its bands."""
     each = REGISTERS // ROWS
 
     def run(batches):
         for batch in batches:
             keys = band_keys(np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16))
-            yield pa.RecordBatch.from_pydict({"meet": keys} | {c: np.repeat(batch.column(c).to_numpy(), each) for c in ("v", "n", "b0", "b1")})
+            yield pa.RecordBatch.from_pydict({"meet": keys, "v": np.repeat(batch.column("v").to_numpy(), each)})
 
-    return classes.select("v", "registers", "n", "b0", "b1").mapInArrow(run, "meet long, v long, n long, b0 long, b1 long").select("meet", "v", F.struct("n", "b0", "b1").alias("mark"))
+    return classes.select("v", "registers").mapInArrow(run, "meet long, v long")
 
 
 def marks(registers: np.ndarray) -> np.ndarray:
@@ -204,13 +204,14 @@ def _may_link(percent: int):
     return test
 
 
-def _compared(pairs: DataFrame, values: DataFrame, decide) -> DataFrame:
-    """Pairs that ``decide`` keeps, by the ``value`` and size ``n`` of both ends (``values``: ``v, n, value``).
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``near, v``: the nodes of each group's pairs."""
+    return pairs.select("near", F.col("a").alias("v")).union(pairs.select("near", F.col("b").alias("v"))).distinct()
 
-    A value is sent once to each ``near`` in which its node has a pair.
-    """
+
+def _compared(pairs: DataFrame, ends: DataFrame, decide) -> DataFrame:
+    """Pairs that ``decide`` keeps, by the ``value`` and size ``n`` of both ends (``ends``: ``near, v, n, value``)."""
     tasks = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = pairs.select("near", F.col("a").alias("v")).union(pairs.select("near", F.col("b").alias("v"))).distinct().join(values, "v")
     rows = ends.select("near", "v", F.lit(None).cast("long").alias("b"), "n", "value").union(pairs.select("near", "a", "b", F.lit(None).cast("long"), F.lit(None).cast("binary")))
     met = rows.repartition(tasks, "near").sortWithinPartitions("near", F.col("b").isNotNull(), "v")
 
@@ -249,22 +250,24 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep.append(j >= percent / 100 - SIGMAS * error)
         return np.concatenate(keep)
 
-    return _compared(pairs, classes.select("v", "n", F.col("registers").alias("value")), decide)
+    return _compared(pairs, _ends(pairs).join(classes.select("v", "n", F.col("registers").alias("value")), "v"), decide)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """``v, shingles`` for the classes in ``needed`` (``doc_id, print, v``), from the texts."""
+    """``needed`` (``doc_id, print`` and more) with ``value``, its set of shingles, from the texts."""
     bits = id_filter(needed, F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["print", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["own_id", "own_print", "value"])
 
-    hashed = docs.where(F.col("text").isNotNull()).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    return hashed.mapInArrow(run, "print binary, shingles binary").join(needed.select("print", "v"), "print").dropDuplicates(["v"]).select("v", "shingles")
+    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    found = hashed.mapInArrow(run, f"own_id {kind}, own_print binary, value binary")
+    return needed.join(found, (F.col("print") == F.col("own_print")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).drop("own_id", "own_print")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -276,23 +279,24 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = NEAR_BYTES) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, most_bytes: int = NEAR_BYTES) -> DataFrame:
     """Pairs whose full sets meet the threshold.
 
     Where a group's sets are larger than a task should hold, its pairs are joined one by one.
     """
-    ends = pairs.select("near", F.col("a").alias("v")).union(pairs.select("near", F.col("b").alias("v"))).distinct()
-    large = ends.join(sets.select("v", F.length("shingles").alias("bytes")), "v").groupBy("near").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > most_bytes).select("near")
-    large = written(large, "large")
-    light = pairs.join(large, "near", "left_anti").select("a", "b", "near")
+    needed = written(_ends(pairs).join(classes.select("v", "n", "print", "doc_id"), "v"), "needed")
+    large = written(needed.groupBy("near").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > most_bytes).select("near"), "large")
 
     def decide(left, right):
         return np.array([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for (_, x), (_, y) in zip(left, right)])
 
-    found = _compared(light, sets.select("v", F.length("shingles").cast("long").alias("n"), F.col("shingles").alias("value")), decide).select("a", "b")
     if not large.take(1):
-        return found
-    met = pairs.join(large, "near", "left_semi").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("s_a")), "a")
+        return _compared(pairs, _sets(docs, needed, width), decide).select("a", "b")
+    light = needed.join(large, "near", "left_anti")
+    found = _compared(pairs.join(large, "near", "left_anti").select("a", "b", "near"), _sets(docs, light, width), decide).select("a", "b")
+    heavy = needed.join(large, "near", "left_semi").select("v", "print", "doc_id").distinct()
+    sets = written(_sets(docs, heavy, width).dropDuplicates(["v"]), "sets")
+    met = pairs.join(large, "near", "left_semi").join(sets.select(F.col("v").alias("b"), F.col("value").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("value").alias("s_a")), "a")
 
     def run(batches):
         for batch in batches:
@@ -314,15 +318,13 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
     )
 
     def confirm(pairs):
-        likely = written(_plausible(pairs, classes, percent), "plausible")
-        ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
-        needed = written(classes.select("doc_id", "print", "v").join(ends, "v", "left_semi"), "needed")
-        return _links(likely, written(_sets(docs, needed, width), "sets"), percent)
+        return _links(written(_plausible(pairs, classes, percent), "plausible"), docs, classes, width, percent)
 
     # One sort by key serves both neighbours: a class stays where another one has the same key.
     by_key = Window.partitionBy("meet").orderBy("v")
     bands = _bands(classes).withColumn("before", F.lag("v").over(by_key)).withColumn("after", F.lead("v").over(by_key))
-    members = bands.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("meet", "v", "mark")
+    met = bands.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("meet", "v")
+    members = met.join(classes.select("v", F.struct("n", "b0", "b1").alias("mark")), "v").select("meet", "v", "mark")
     roots = grouped_components(written(members, "members"), confirm, _may_link(percent), small_group)
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
