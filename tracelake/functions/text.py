@@ -38,7 +38,9 @@ def terms(text: Column) -> Column:
         camel = F.regexp_replace(F.regexp_replace(word, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
         split = F.filter(F.split(F.lower(camel), "_"), lambda x: x != "")
         whole = F.lower(word)
-        return F.when(F.size(split) > 1, F.concat(F.array(whole), split)).otherwise(F.array(whole))
+        # Few words have parts; the others are spared two more regular expressions.
+        several = word.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]")
+        return F.when(several & (F.size(split) > 1), F.concat(F.array(whole), split)).otherwise(F.array(whole))
 
     return F.flatten(F.transform(words, parts))
 

@@ -63,6 +63,21 @@ def byte_count(text: str) -> int:
     return len(text.encode())
 
 
+TOKENIZERS = ("bytes", "cl100k_base", "o200k_base")
+
+
+def counter(tokenizer: str) -> Callable[[str], int]:
+    """What a budget counts: bytes, or ordinary tokens of a named encoding, whose data must be at hand."""
+    if tokenizer not in TOKENIZERS:
+        raise ValueError(f"tokenizer is one of {', '.join(TOKENIZERS)}")
+    if tokenizer == "bytes":
+        return byte_count
+    import tiktoken
+
+    encoding = tiktoken.get_encoding(tokenizer)
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
 def pack(header: dict, candidates: Iterable[dict], budget: int, count: Callable[[str], int] = byte_count, total: int | None = None) -> dict:
     """A sealed bundle of the candidates that fit, in order; oversize ones are skipped.
 

@@ -39,12 +39,16 @@ def snapshot(files: DataFrame) -> str:
     return corpus.snapshot_id(files).first()[0]
 
 
-def make_bundle(files: DataFrame, query: str, budget: int = 4000, method: str = "graph", limit: int | None = None) -> dict:
-    """All ranked chunks are candidates unless a limit is given; those larger than the budget stay with the executors."""
-    head = {"schema_version": 1, "snapshot_id": snapshot(files), "query": query, "method": method, "tokenizer": "bytes"}
+def make_bundle(files: DataFrame, query: str, budget: int = 4000, method: str = "graph", limit: int | None = None, tokenizer: str = "bytes") -> dict:
+    """All ranked chunks are candidates unless a limit is given; those of more bytes than the budget stay with the executors.
+
+    A token has 128 bytes at most in the named tokenizers, so a chunk beyond that cannot fit a budget in tokens.
+    """
+    head = {"schema_version": 1, "snapshot_id": snapshot(files), "query": query, "method": method, "tokenizer": tokenizer}
+    count = pack.counter(tokenizer)
     ranked = _ranked(files, query, method, limit)
-    fitting = ranked.where(F.octet_length("text") <= budget).orderBy("rank").toLocalIterator()
-    return pack.pack(head, (pack.entry(r.asDict()) for r in fitting), budget, total=ranked.count())
+    fitting = ranked.where(F.octet_length("text") <= budget * (1 if tokenizer == "bytes" else 128)).orderBy("rank").toLocalIterator()
+    return pack.pack(head, (pack.entry(r.asDict()) for r in fitting), budget, count, total=ranked.count())
 
 
 def verify_bundle(files: DataFrame, bundle: dict) -> dict:
@@ -125,6 +129,54 @@ def refresh(files: DataFrame, context: dict) -> dict:
     return sealed({**fresh, "receipt": {"action": "retrieve", "from": context["id"]}})
 
 
+def anchors_of(files: DataFrame, query: str, limit: int = 1) -> list[dict]:
+    """The best ``limit`` different declarations; statistics and ranks are those of Python chunks alone."""
+    python = files.where(F.col("path").rlike(r"(?i)\.pyi?$"))
+    ranked = _ranked(python, query, "bm25", None)
+    # One row a declaration, the best ranked, so that only ``limit`` rows reach the driver.
+    best = ranked.groupBy("path", "symbol", "kind").agg(F.min("rank").alias("rank")).orderBy("rank").limit(limit)
+    hits = [r.asDict() for r in ranked.join(best.select("rank"), "rank").orderBy("rank").collect()]
+    if not hits:
+        raise ValueError("no Python source answers this query")
+    return graph.select_anchors(hits, limit)
+
+
+def context_for(policy: str, files: DataFrame, saved: dict, query: str, budget: int = 4000) -> tuple[dict, str]:
+    """A bundle by policy and what was done: ``reuse`` as it is, ``fresh`` anew, ``verify`` repaired where nothing is lost."""
+    if policy == "reuse":
+        return saved, "reuse"
+    if policy == "verify":
+        report = verify_bundle(files, saved)
+        if report["valid"]:
+            return saved, "reuse"
+        if report["error"] is None and {r["status"] for r in report["results"]} <= {"valid", "relocated"}:
+            by = {r["entry_id"]: r for r in report["results"]}
+            paths = {by[e["id"]]["new_path"] or e["path"] for e in saved["entries"]}
+            texts = {r.path: r.text for r in files.where(F.col("path").isin(*paths)).select("path", "text").collect()}
+            mended = pack.repair(saved, by, texts, snapshot(files))
+            if len(mended["entries"]) == len(saved["entries"]):
+                return mended, "repair"
+    elif policy != "fresh":
+        raise ValueError("policy is reuse, fresh or verify")
+    return make_bundle(files, query, budget, "bm25"), "fresh"
+
+
+def diagnose(bundle: dict, before: DataFrame, after: DataFrame) -> dict[str, dict]:
+    """By entry, what four predicates say of one bundle: its file unchanged, its file's hash, its text, its witness."""
+    if not bundle["entries"]:
+        return {}
+    paths = [e["path"] for e in bundle["entries"]]
+    digest = lambda df: {r.path: r.sha for r in df.where(F.col("path").isin(*paths)).select("path", F.sha2("text", 256).alias("sha")).collect()}
+    old, new = digest(before), digest(after)
+    text = {r["entry_id"]: r["status"] for r in verify_bundle(after, bundle)["results"]}
+    witnesses = resolve.capture(_python(before), [{k: e[k] for k in ANCHOR} for e in bundle["entries"]])
+    one_hop = {w["id"]: d["status"] for w, d in zip(witnesses, resolve.check(_python(after), witnesses))}
+    return {
+        e["id"]: {"file_unchanged": old.get(e["path"]) == new.get(e["path"]), "file_hash": new.get(e["path"]) == e["file_sha256"], "status": text[e["id"]], "recoverable": text[e["id"]] in ("valid", "relocated"), "one_hop": one_hop[e["id"]]}
+        for e in bundle["entries"]
+    }
+
+
 class GraphSession:
     """Graphs by handle: capture, then refresh against what a holder already has."""
 
@@ -156,7 +208,7 @@ class GraphSession:
         return g
 
     def capture(self, files: DataFrame, query: str, limit: int = 1, budget: int = 16000, **bounds) -> dict:
-        anchors = graph.select_anchors(search(files, query, "bm25", 200), limit)
+        anchors = anchors_of(files, query, limit)
         g = graph.build(_python(files), anchors, parsed=self.parsed, **bounds)
         return {"handle": self._save(g), "view": graph.full_view(g, budget), "anchors": g["anchors"]}
 

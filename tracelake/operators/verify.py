@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
+from tracelake.operators import corpus
 
 STATUSES = ("valid", "relocated", "ambiguous", "modified", "deleted", "invalid")
 
@@ -25,12 +26,9 @@ def drifted(files: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.explode(paths).alias("path"), text.alias("text"))
 
 
-def entries(files: DataFrame, first: int = 1, last: int = 3) -> DataFrame:
-    """One saved span a file: lines ``first`` to ``last`` with their digests."""
-    ls = T.source_lines(F.col("text"))
-    end = F.least(F.lit(last), F.size("ls"))
-    cut = files.select("doc_id", "path", "text", ls.alias("ls")).where(F.size("ls") >= first)
-    return cut.select(F.col("doc_id").alias("entry_id"), "path", F.lit(first).alias("start_line"), end.alias("end_line"), T.slice_text(F.col("ls"), F.lit(first), end).alias("text"), F.sha2("text", 256).alias("file_sha256"))
+def entries(files: DataFrame) -> DataFrame:
+    """The saved spans of a corpus: every chunk of every file with its digests."""
+    return corpus.chunks(files).select(F.concat_ws(":", "path", F.col("start_line").cast("string")).alias("entry_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "text", "file_sha256")
 
 
 def occurrences(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -40,10 +38,10 @@ def occurrences(wanted: DataFrame, files: DataFrame) -> DataFrame:
     its count in the corpus, so a line that many files repeat is no hot key
     unless a span has no other; then the whole slice is compared.
     """
-    corpus = files.select("path", T.source_lines(F.col("text")).alias("ls"))
+    held = files.select("path", T.source_lines(F.col("text")).alias("ls"))
     spans = wanted.select("entry_id", F.col("text").alias("want"), T.source_lines(F.col("text")).alias("own"))
     each = spans.select("entry_id", F.posexplode("own").alias("at", "line")).withColumn("h", F.xxhash64("line"))
-    at = corpus.select("path", "ls", F.posexplode("ls").alias("pos", "line"))
+    at = held.select("path", "ls", F.posexplode("ls").alias("pos", "line"))
     hashed = at.select("path", "ls", "pos", F.xxhash64("line").alias("h"))
     counts = hashed.select("h").join(each.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
     rarest = each.join(counts, "h", "left").groupBy("entry_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "h")).alias("k")).select("entry_id", "k.at", "k.h")
@@ -51,7 +49,7 @@ def occurrences(wanted: DataFrame, files: DataFrame) -> DataFrame:
     # Places meet first, without text; the files' lines come in for these alone.
     met = hashed.select("path", "pos", "h").join(keyed, "h").where(F.col("pos") >= F.col("at"))
     same = F.array_join(F.slice("ls", F.col("pos") - F.col("at") + 1, F.col("width")), "") == F.col("want")
-    return met.join(corpus, "path").where(same).select("entry_id", "path", (F.col("pos") - F.col("at") + 1).cast("long").alias("line"))
+    return met.join(held, "path").where(same).select("entry_id", "path", (F.col("pos") - F.col("at") + 1).cast("long").alias("line"))
 
 
 def verify(saved: DataFrame, files: DataFrame, outside: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.operators import corpus, diff, grouped, metrics, pack, rank, verify
+from tracelake.operators import corpus, diff, evaluate, grouped, metrics, pack, rank, verify
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,21 +37,29 @@ st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ts),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({_terms_sql('text')}) AS term FROM benchmark),
 sc AS (SELECT query_id, ts.id, path, start_line, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / al))) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term) JOIN ts ON ts.id = tf.id CROSS JOIN st GROUP BY ALL)"""
-_AFTER = f"""{_LN}, af AS (
+_AFTER = rf"""{_LN}, af AS (
   SELECT doc_id, path, text, {_LS} AS ls FROM (SELECT *, string_split(text, chr(10)) AS p FROM (
     SELECT doc_id, unnest(CASE WHEN doc_id % 10 = 7 THEN [path, 'copy/' || path] WHEN doc_id % 10 = 4 THEN ['moved/' || path] ELSE [path] END) AS path,
       CASE doc_id % 10 WHEN 3 THEN 'inserted header' || chr(10) || text WHEN 5 THEN 'edited ' || text WHEN 7 THEN 'displaced' || chr(10) || text
         WHEN 8 THEN text || chr(10) || 'appended line' WHEN 9 THEN text || chr(10) || 'appended line' ELSE text END AS text
     FROM files WHERE doc_id % 10 <> 6))),
-en AS (SELECT doc_id AS entry_id, path, 1 AS start_line, least(3, len(ls)) AS end_line, array_to_string(ls[1 : least(3, len(ls))], '') AS text, sha256(text) AS file_sha256 FROM ln WHERE len(ls) >= 1)"""
-_OCC = f"""{_AFTER}, w AS (SELECT DISTINCT end_line AS n FROM en),
-sl AS (SELECT path, s AS line, array_to_string(ls[s : s + n - 1], '') AS text FROM (SELECT path, ls, n, unnest(range(1, len(ls) - n + 2)) AS s FROM af CROSS JOIN w WHERE len(ls) >= n)),
-oc AS (SELECT entry_id, sl.path, sl.line FROM en JOIN sl USING (text))"""
+en AS (SELECT *, path || ':' || start_line AS entry_id, end_line - start_line + 1 AS n FROM (
+  SELECT path, s AS start_line, least(s + 79, len(ls)) AS end_line, ls[s] AS head, array_to_string(ls[s : least(s + 79, len(ls))], '') AS text, sha256(text) AS file_sha256
+  FROM (SELECT *, unnest(range(1, len(ls) + 1, 80)) AS s FROM ln)) WHERE NOT regexp_full_match(text, '\s*'))"""
+
+
+def _places_sql(files: str) -> str:
+    """Every place of every span: lines equal to its first, where as many lines as it has are its text."""
+    return f"""SELECT entry_id, f.path, f.s AS line FROM en JOIN (SELECT path, s, ls[s] AS head FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS s FROM {files})) f USING (head)
+  JOIN {files} x ON x.path = f.path WHERE len(x.ls) >= f.s + n - 1 AND array_to_string(x.ls[f.s : f.s + n - 1], '') = en.text"""
+
+
+_OCC = f"{_AFTER}, oc AS ({_places_sql('af')})"
 _VER = f"""{_OCC}, ver AS (
   SELECT e.entry_id, CASE WHEN array_to_string(a.ls[e.start_line : e.end_line], '') = e.text AND len(a.ls) >= e.end_line THEN 'valid'
-      WHEN n = 1 THEN 'relocated' WHEN n > 1 THEN 'ambiguous' WHEN a.path IS NOT NULL THEN 'modified' ELSE 'deleted' END AS status, n, m
+      WHEN o.n = 1 THEN 'relocated' WHEN o.n > 1 THEN 'ambiguous' WHEN a.path IS NOT NULL THEN 'modified' ELSE 'deleted' END AS status, o.n, m
   FROM en e LEFT JOIN af a ON a.path = e.path
-  LEFT JOIN (SELECT entry_id, count(*) AS n, min({{'path': path, 'line': line}}) AS m FROM oc GROUP BY entry_id) USING (entry_id))"""
+  LEFT JOIN (SELECT entry_id, count(*) AS n, min({{'path': path, 'line': line}}) AS m FROM oc GROUP BY entry_id) o USING (entry_id))"""
 
 
 def query(name: str, sql: str | None = None):
@@ -254,11 +262,11 @@ def hash_rank_sample(spark, d):
     return metrics.hash_rank_sample(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id"), "source", "doc_id", 3, "2026")
 
 
-@query("uniqueness_eligibility", f"WITH {_OCC} SELECT e.entry_id, end_line >= 3 AND strlen(e.text) <= 6000 AND n = 1 AS eligible FROM en e JOIN (SELECT entry_id, count(*) AS n FROM (SELECT entry_id, ln.path, s FROM en JOIN (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS s FROM ln) ln ON array_to_string(ln.ls[s : s + end_line - 1], '') = en.text AND s + end_line - 1 <= len(ln.ls)) GROUP BY entry_id) USING (entry_id)")
+@query("uniqueness_eligibility", f"WITH {_AFTER}, oc AS ({_places_sql('ln')}) SELECT e.entry_id, end_line - start_line >= 2 AND strlen(e.text) <= 6000 AND o.n = 1 AS eligible FROM en e JOIN (SELECT entry_id, count(*) AS n FROM oc GROUP BY entry_id) o USING (entry_id)")
 def uniqueness_eligibility(spark, d):
     saved = _entries(spark, d)
     n = verify.occurrences(saved, _files(spark, d)).groupBy("entry_id").agg(F.count("*").alias("n"))
-    ok = (F.col("end_line") >= 3) & (F.octet_length("text") <= 6000) & (F.col("n") == 1)
+    ok = (F.col("end_line") - F.col("start_line") >= 2) & (F.octet_length("text") <= 6000) & (F.col("n") == 1)
     return saved.join(n, "entry_id").select("entry_id", ok.alias("eligible"))
 
 
@@ -266,12 +274,12 @@ def uniqueness_eligibility(spark, d):
     "greedy_pack",
     f"""WITH RECURSIVE {_BM}, tk AS (SELECT query_id, id, strlen(text) AS cost, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, sc.path, sc.start_line, id) AS rank FROM sc JOIN ch USING (id) WHERE score > 0),
 g AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT query_id FROM tk)
-  UNION ALL SELECT g.query_id, tk.rank, CASE WHEN used + cost <= 8000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 8000 THEN list_append(kept, id) ELSE kept END FROM g JOIN tk ON tk.query_id = g.query_id AND tk.rank = g.rank + 1 WHERE tk.rank <= 40)
+  UNION ALL SELECT g.query_id, tk.rank, CASE WHEN used + cost <= 8000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 8000 THEN list_append(kept, id) ELSE kept END FROM g JOIN tk ON tk.query_id = g.query_id AND tk.rank = g.rank + 1)
 SELECT query_id, array_to_string(kept, ',') AS kept, used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS r FROM g) WHERE r = 1""",
 )
 def greedy_pack(spark, d):
     chunks = corpus.chunks(_files(spark, d))
-    ranked = rank.top(rank.bm25(chunks, _queries(spark, d)), 40).join(chunks.select("id", F.octet_length("text").alias("cost")), "id")
+    ranked = rank.top(rank.bm25(chunks, _queries(spark, d)), None).join(chunks.select("id", F.octet_length("text").alias("cost")), "id")
     return pack.greedy(ranked, "query_id", "rank", "id", "cost", 8000).select("query_id", F.array_join("kept", ",").alias("kept"), "used")
 
 
@@ -296,7 +304,14 @@ def delta_ops(spark, d):
     return diff.delta(_nodes(_files(spark, d)), _nodes(_after(spark, d)), "path")
 
 
-@query("delta_apply_check", f"WITH {_DELTA} SELECT (SELECT count(*) FROM w2) AS target, (SELECT count(*) FROM w2) AS rebuilt, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS violations")
+@query(
+    "delta_apply_check",
+    f"""WITH {_DELTA}, rb AS (SELECT path, max(coalesce(s.value, o.sha)) AS sha, max(coalesce(n.value, o.n)) AS n FROM o LEFT JOIN (SELECT path, value FROM ops WHERE op = 'set' AND field = 'sha') s USING (path)
+    LEFT JOIN (SELECT path, value FROM ops WHERE op = 'set' AND field = 'n_lines') n USING (path) WHERE path NOT IN (SELECT path FROM ops WHERE op = 'remove') GROUP BY path
+  UNION ALL SELECT path, max(value) FILTER (field = 'sha'), max(value) FILTER (field = 'n_lines') FROM ops WHERE op = 'add' GROUP BY path),
+bad AS (SELECT ops.path FROM ops LEFT JOIN o USING (path) WHERE (op = 'add') = (o.path IS NOT NULL))
+SELECT (SELECT count(*) FROM w2) AS target, (SELECT count(*) FROM rb) AS rebuilt, (SELECT count(*) FROM w2 FULL JOIN rb USING (path) WHERE w2.sha IS DISTINCT FROM rb.sha OR w2.n IS DISTINCT FROM rb.n) AS differing, (SELECT count(*) FROM bad) AS violations""",
+)
 def delta_apply_check(spark, d):
     old, new = _nodes(_files(spark, d)), _nodes(_after(spark, d))
     ops = diff.delta(old, new, "path")
@@ -370,16 +385,25 @@ def repeated_bytes(spark, d):
     return metrics.repeated_bytes(docs, ["sha"], "text")
 
 
-@query("path_checks", f"WITH {_FILES} SELECT path, false AS unsafe, CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0)) AS INTEGER) AS fence FROM files")
+_ODD = ("", "../", "/", "a//", "./", "b\\")
+
+
+@query(
+    "path_checks",
+    rf"""WITH {_FILES}, od AS (SELECT ['', '../', '/', 'a//', './', 'b\'][1 + doc_id % 6] || path || CASE WHEN doc_id % 7 = 6 THEN '/' ELSE '' END AS path, text FROM files)
+SELECT path, path = '' OR contains(path, '\') OR contains(path, chr(0)) OR len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) > 0 AS unsafe,
+  CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0)) AS INTEGER) AS fence FROM od""",
+)
 def path_checks(spark, d):
-    return _files(spark, d).select("path", T.unsafe_path(F.col("path")).alias("unsafe"), T.fence_width(F.col("text")).alias("fence"))
+    """Paths of which most are not safe, by ``doc_id``."""
+    before = F.element_at(F.array(*map(F.lit, _ODD)), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    odd = F.concat(before, "path", F.when(F.pmod("doc_id", F.lit(7)) == 6, "/").otherwise(""))
+    return _files(spark, d).select(odd.alias("path"), "text").select("path", T.unsafe_path(F.col("path")).alias("unsafe"), T.fence_width(F.col("text")).alias("fence"))
 
 
 @query("publication_findings", rf"""WITH {_LN} SELECT path, CAST(i AS BIGINT) AS line_no, kind FROM (SELECT path, i, unnest(['email', 'key']) AS kind, unnest([regexp_matches(l, '[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+'), contains(l, 'AKIA')]) AS hit FROM (SELECT path, i, ls[i] AS l FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM ln))) WHERE hit""")
 def publication_findings(spark, d):
-    patterns = {"email": r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+", "key": "AKIA"}
-    kinds = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), k) for k, p in patterns.items()]))
-    return corpus.lines(_files(spark, d)).select("path", "line_no", F.explode(kinds).alias("kind"))
+    return evaluate.findings(_files(spark, d), {"email": r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+", "key": "AKIA"})
 
 
 def _trees(spark, d):
@@ -413,19 +437,116 @@ def dependency_revisions(spark, d):
     return grouped.compare_revisions(*_trees(spark, d)).drop("complete")
 
 
-@query("bundle_render")
-def bundle_render(spark, d):
-    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    best = rank.top(rank.bm25(chunks, qs), None).select("query_id", "id", "rank", "score")
-    return grouped.bundles(best.join(chunks, "id").join(qs, "query_id"))
-
-
-@query("snapshot_identity")
+@query("snapshot_identity", f"WITH {_FILES}, h AS (SELECT sha256(path || chr(0) || sha256(text)) AS h FROM files), r AS (SELECT substr(h, 1, 3) AS r, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256('v1' || string_agg(h, ',' ORDER BY r)) AS snapshot_id FROM r")
 def snapshot_identity(spark, d):
     return corpus.snapshot_id(_files(spark, d))
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    """WITH c AS (SELECT source, sum(quality) AS s, count(*) AS n, row_number() OVER (ORDER BY source) - 1 AS i FROM labels JOIN documents USING (doc_id) GROUP BY source), k AS (SELECT count(*) AS size FROM c),
+p AS (SELECT draw, CAST('0x' || substr(sha256('20260921:' || draw || ':' || turn), 1, 8) AS BIGINT) % size AS i FROM (SELECT unnest(range(5000)) AS draw), (SELECT size, unnest(range(1, size + 1)) AS turn FROM k)),
+m AS (SELECT sum(s) / sum(n) AS mean FROM p JOIN c USING (i) GROUP BY draw), o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS pos FROM m)
+SELECT round(min(mean) FILTER (WHERE pos = floor(0.025 * 4999)), 8) AS low, round(min(mean) FILTER (WHERE pos = floor(0.975 * 4999)), 8) AS high FROM o""",
+)
 def bootstrap_ci(spark, d):
     rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id")
-    return metrics.hashed_bootstrap(rows, "source", "quality", 500, 20260921)
+    return metrics.hashed_bootstrap(rows, "source", "quality", 5000, 20260921).select(F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
+
+
+_BUDGETS = (2000, 4000, 8000)
+
+
+@query(
+    "budget_summary",
+    f"""WITH {_REL}, b AS (SELECT *, unnest([2000, 4000, 8000]) AS budget, coalesce(first_rank, 1) * 900 AS rendered FROM per)
+SELECT budget, count(*) AS queries, round(avg(CASE WHEN found > 0 THEN 1 ELSE 0 END), 8) AS hit_rate, round(avg(found / labels), 8) AS mean_recall, round(avg(coalesce(1 / first_rank, 0)), 8) AS mrr,
+  count(*) FILTER (rendered > budget) AS violations, count(*) FILTER (rendered <> CASE WHEN query_id % 5 = 0 THEN 0 ELSE rendered END) AS mismatches FROM b GROUP BY budget""",
+)
+def budget_summary(spark, d):
+    """Sizes stand in for rendered answers: 900 bytes for each rank down to the first relevant one."""
+    rendered = F.coalesce("first_rank", F.lit(1)) * 900
+    per = _retrieved(spark, d).withColumn("budget", F.explode(F.array(*map(F.lit, _BUDGETS)))).withColumns({"rendered": rendered, "consumed": F.when(F.col("query_id") % 5 == 0, 0).otherwise(rendered)})
+    return evaluate.budget_summary(per, "budget").withColumns({c: F.round(c, 8) for c in ("hit_rate", "mean_recall", "mrr")})
+
+
+@query("frontier_summary", "SELECT lang, CAST(place AS INTEGER) AS place, kind, reason, n FROM (SELECT lang, kind, substr(reason, 1, 160) AS reason, n, row_number() OVER (PARTITION BY lang ORDER BY kind, reason) AS place FROM (SELECT lang, coalesce(source, 'unresolved') AS kind, coalesce(CASE WHEN doc_id % 3 > 0 THEN repeat('r', CAST(150 + doc_id % 20 AS INT)) END, 'unknown') AS reason, count(*) AS n FROM documents GROUP BY ALL)) WHERE place <= 4")
+def frontier_summary(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    reason = F.when(F.col("doc_id") % 3 > 0, F.repeat(F.lit("r"), (150 + F.col("doc_id") % 20).cast("int")))
+    return evaluate.frontier_summary(docs.select("lang", F.col("source").alias("kind"), reason.alias("reason")), "lang")
+
+
+_DEP = ("unchanged", "changed", "missing", "unresolved")
+
+
+@query(
+    "drift_flags",
+    f"""WITH {_VER}, j AS (SELECT status, strlen(en.path) AS k, start_line AS s, ['unchanged', 'changed', 'missing', 'unresolved'] AS d FROM ver JOIN en USING (entry_id)),
+f AS (SELECT status IN ('valid', 'relocated') AS ok, d[1 + k % 4] AS dep, d[1 + (k + s) % 3] AS anchor, d[1 + (k + s) % 4] IN ('changed', 'missing') OR d[1 + k // 2 % 4] IN ('changed', 'missing') AS ref FROM j)
+SELECT count(*) AS samples, count(*) FILTER (ok) AS text_recoverable, count(*) FILTER (ok AND dep IN ('changed', 'missing')) AS additionally_flagged, count(*) FILTER (ok AND anchor = 'unchanged' AND ref) AS direct_reference_flag,
+  count(*) FILTER (ok AND anchor IN ('changed', 'missing')) AS anchor_flag, count(*) FILTER (ok AND dep = 'unresolved') AS needs_review FROM f""",
+)
+def drift_flags(spark, d):
+    """Text statuses are real; those of witnesses are drawn from the lengths of paths."""
+    saved = _entries(spark, d)
+    rows = verify.verify(saved, _after(spark, d)).join(saved.select("entry_id", F.octet_length("path").alias("k"), F.col("start_line").alias("s")), "entry_id")
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _DEP)), n + 1)
+    k, s = F.col("k"), F.col("s")
+    shown = rows.select(F.col("status").alias("source_status"), pick(k % 4).alias("dependency_status"), pick((k + s) % 3).alias("anchor_status"), F.array(pick((k + s) % 4), pick((F.floor(k / 2) % 4).cast("int"))).alias("references"))
+    return evaluate.drift_summary(evaluate.drift_flags(shown))
+
+
+def _attempts(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return rows.select(F.col("lang").alias("condition"), F.col("source").alias("drift"), (F.col("quality") == 1).alias("passed"), F.when(F.col("toxic") == 1, "toxic").when(F.col("n_chars") < 500, "short").alias("error_type"))
+
+
+@query("failure_types", "SELECT lang AS condition, CASE WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 500 THEN 'short' ELSE 'unknown' END AS error_type, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality <> 1 GROUP BY ALL")
+def failure_types(spark, d):
+    return evaluate.failure_types(_attempts(spark, d))
+
+
+@query("passes_by_drift", "SELECT lang AS condition, source AS drift, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def passes_by_drift(spark, d):
+    return evaluate.passes_by_drift(_attempts(spark, d))
+
+
+@query(
+    "suite_summary",
+    """WITH c AS (SELECT ['unchanged', 'changed', 'missing', 'unresolved', 'invalid'][1 + doc_id % 5] AS expected, ['unchanged', 'changed', 'missing', 'unresolved', 'invalid'][1 + doc_id // 2 % 5] AS observed,
+  doc_id % 4 = 0 AS fresh, doc_id % 3 = 0 AS usable, CAST(n_chars AS DOUBLE) AS capture, CAST(n_chars % 97 AS DOUBLE) AS verify, strlen(source) AS sidecar, n_chars AS bundle FROM documents)
+SELECT count(*) AS cases, count(*) FILTER (expected = observed) AS correct, count(*) FILTER (expected IN ('changed', 'missing', 'invalid')) AS stale, count(*) FILTER (expected IN ('changed', 'missing', 'invalid') AND fresh) AS unsafe_by_witness,
+  count(*) FILTER (expected IN ('changed', 'missing', 'invalid') AND usable) AS unsafe_by_text, count(*) FILTER (observed = 'unresolved') AS unresolved, count(*) FILTER (expected = 'unresolved' AND fresh) AS unresolved_as_fresh,
+  median(capture) AS median_capture_ms, median(verify) AS median_verify_ms, CAST(median(sidecar) AS DOUBLE) AS median_sidecar_bytes, round(median(sidecar / nullif(bundle, 0)), 8) AS median_ratio FROM c""",
+)
+def suite_summary(spark, d):
+    """Cases drawn from document numbers and sizes."""
+    docs, names = spark.read.parquet(f"{d}/documents.parquet"), F.array(*map(F.lit, (*_DEP, "invalid")))
+    pick = lambda n: F.element_at(names, (n % 5 + 1).cast("int"))
+    i, n = F.col("doc_id"), F.col("n_chars")
+    cases = docs.select(pick(i).alias("expected"), pick(F.floor(i / 2)).alias("observed"), (i % 4 == 0).alias("fresh"), (i % 3 == 0).alias("text_usable"), n.cast("double").alias("capture_ms"), (n % 97).cast("double").alias("verify_ms"), F.octet_length("source").alias("sidecar_bytes"), n.alias("bundle_bytes"))
+    return evaluate.suite_summary(cases).withColumn("median_ratio", F.round("median_ratio", 8))
+
+
+@query("publication_export", rf"""WITH {_FILES}, p AS (SELECT path, text, regexp_replace(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+', '<redacted>', 'g'), 'AKIA[A-Z0-9]+', '<redacted>', 'g') AS safe FROM files)
+SELECT path, sha256(safe) AS sha256, CAST(strlen(safe) AS BIGINT) AS n_bytes, safe <> text AS redacted FROM p""")
+def publication_export(spark, d):
+    return evaluate.publication(_files(spark, d), {"email": r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+", "key": "AKIA[A-Z0-9]+"}).drop("text")
+
+
+@query("production_paths", f"WITH {_FILES} SELECT path, (starts_with(path, 'en/') OR starts_with(path, 'de/')) AND NOT contains('/' || lower(path), '/src3/') AS production FROM files")
+def production_paths(spark, d):
+    return _files(spark, d).select("path", evaluate.production(F.col("path"), ("en", "de/"), ("src3", "tests")).alias("production"))
+
+
+@query("seeded_order", "SELECT doc_id, sha256('230921:' || doc_id) AS order_key FROM documents")
+def seeded_order(spark, d):
+    return evaluate.seeded_order(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id")
+
+
+@query("bundle_render")
+def bundle_render(spark, d):
+    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
+    best = rank.top(rank.bm25(chunks, qs), None).select("query_id", "id", "rank", "score")
+    return grouped.bundles(best.join(chunks, "id").join(qs, "query_id"))
