@@ -135,3 +135,51 @@ def test_replaced_words_link_paragraphs(spark):
     got = _run(spark, rows)
     assert far > 30 and got == _brute(rows)
     assert sum(kept == 0 for _, _, kept, _ in got) >= far
+
+
+def test_packed_grams_are_few_bytes_and_come_back_whole():
+    """Every gram comes back, to 24 bits of its key; unpacked rows took 24 bytes a gram in the shuffle."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 9))) for _ in range(4000)]
+    texts = sorted({" ".join(r.choice(words) for _ in range(r.randrange(5, 120))) for _ in range(2000)} | {"ab" * 40000, "-" * 70}, key=len)
+    _, h = lines.line_ids(texts)
+    key, owner, first, last = lines._anchors(h)
+    packed = list(lines._pack(h.length, key, owner, first, last, 6))
+    got = []
+    for bucket, size, grams, data in packed:
+        which, length, k, line, lo, hi = lines._unpack(data, size, grams)
+        assert (length == h.length[which]).all()
+        got += zip([bucket] * grams, which[line].tolist(), k.tolist(), lo.tolist(), hi.tolist())
+    u = key.view(np.uint64)
+    buckets = (u >> np.uint64(24)) % np.uint64(1 << 32) % np.uint64(6)
+    assert sorted(got) == sorted(zip(buckets.tolist(), owner.tolist(), (u % np.uint64(1 << 24)).tolist(), first.tolist(), last.tolist()))
+    assert sum(len(x[-1]) for x in packed) < 6 * len(key)
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Keys under which more lines meet than are listed in pairs go to rounds of centres; links stay whole."""
+    monkeypatch.setattr(lines, "CROWD", 3)
+    monkeypatch.setattr(lines, "CHUNK", 3000)
+    monkeypatch.setattr(lines, "BUCKET", 2000)
+    r = random.Random(9)
+    common = "this passage is found in very many of the lines, whatever else they say: "
+    rows = []
+    for i in range(40):
+        own = "".join(r.choice("abcdefgh ") for _ in range(30))
+        rows.append((2 * i, common + own + "\n" + common))
+        rows.append((2 * i + 1, common + own[:-2] + "xy"))
+    got = _run(spark, rows)
+    assert got == _brute(rows)
+    assert sum(kept == 0 for _, _, kept, _ in got) >= 40
+
+
+def test_distances_of_long_lines_equal_the_whole_table():
+    r = random.Random(10)
+    for n in (30, 90, 400, 900):
+        for edits in (0, 1, 3, 6, n // 20, n // 8):
+            a = "".join(r.choice("abcd") for _ in range(n))
+            b = _edited(r, a, edits) if edits else a[::-1]
+            d = _levenshtein(a, b)
+            for most in (n // 40, n // 20, d - 1, d):
+                if most >= 0:
+                    assert lines.edit_distance(a, b, most) == min(d, most + 1)

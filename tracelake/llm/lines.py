@@ -28,18 +28,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
-from tracelake.llm.components import grouped_components
+from tracelake.llm.components import components, grouped_components
 
 #: Shortest and longest length of a pair's shorter line, and the grams such pairs meet on.
 FAMILIES = ((20, 39, 10), (40, 1 << 40, 12))
 BAG = 32
+#: Edits that are looked for diagonal by diagonal.
+FEW = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 19
+#: Characters of distinct lines that are packed together, and of all texts for each bucket of keys; pairs under one key for each line there.
+CHUNK, BUCKET, CROWD = 1 << 23, 28_000_000, 256
 _K1, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,8 +56,10 @@ def allowed(length):
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or ``most + 1`` if it is greater.
 
-    A common start and end are cut off; the rest is the bit-parallel recurrence
-    (Myers, Hyyrö) with a column of the table in one integer of any size.
+    A common start and end are cut off. Up to ``FEW`` edits are found by the furthest place
+    that each number of edits reaches on each diagonal; the rest is the bit-parallel recurrence
+    (Myers, Hyyrö) with a column of the table in one integer of any size, first on a start of
+    the shorter line: if that is too far from every start of the other, so are the lines.
     """
     if a == b:
         return 0
@@ -75,26 +82,94 @@ def edit_distance(a: str, b: str, most: int) -> int:
     a, b = a[: n - j], b[: len(b) - j]
     if not a:
         return min(len(b), most + 1)
+    few = _few_edits(a, b, min(most, FEW))
+    if few <= most and few <= FEW or most <= FEW:
+        return min(few, most + 1)
+    head = 4 * most
+    if len(a) > 2 * head and _least_of_start(a[:head], b[: head + most], most) > most:
+        return most + 1
+    return _bit_parallel(a, b, most)
+
+
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """Characters that ``a`` from ``i`` and ``b`` from ``j`` have in common."""
+    start, step, most = i, 16, min(len(a) - i, len(b) - j)
+    end = i + most
+    while i + step <= end and a[i : i + step] == b[j : j + step]:
+        i, j, step = i + step, j + step, 2 * step
+    while step > 1:
+        step //= 2
+        if i + step <= end and a[i : i + step] == b[j : j + step]:
+            i, j = i + step, j + step
+    while i < end and a[i] == b[j]:
+        i, j = i + 1, j + 1
+    return i - start
+
+
+def _few_edits(a: str, b: str, most: int) -> int:
+    """The distance, or ``most + 1``: the furthest place in ``a`` by diagonal, one edit after the other."""
+    goal, n = len(b) - len(a), len(a)
+    reach = {0: _common(a, 0, b, 0)}
+    for edits in range(most + 1):
+        if reach.get(goal, -1) >= n:
+            return edits
+        further = {}
+        for k in range(-edits - 1, edits + 2):
+            i = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
+            if i < 0:
+                continue
+            i = min(i, n, len(b) - k)
+            if i >= 0 and i + k >= 0:
+                further[k] = i + _common(a, i, b, i + k)
+        reach = further
+    return most + 1
+
+
+def _columns(a: str):
+    """A step from column to column of the table of ``a``: the change of its last row for the next character."""
     places: dict[str, int] = {}
     for at, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << at
     # Bit i of up (down): the table rises (falls) by one from row i to row i + 1 of the current column.
     mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score, left = mask, 0, len(a), len(b)
-    for c in b:
-        same = places.get(c, 0)
+    up, down, get = mask, 0, places.get
+
+    def step(c: str, first: int) -> int:
+        nonlocal up, down
+        same = get(c, 0)
         flat = same | down
         across = (((same & up) + up) ^ up) | same
         more, less = down | (mask & ~(across | up)), up & across
-        score += bool(more & last) - bool(less & last)
+        change = bool(more & last) - bool(less & last)
+        more, less = more << 1 | first, less << 1
+        up, down = mask & (less | ~(flat | more)), mask & more & flat
+        return change
+
+    return step
+
+
+def _bit_parallel(a: str, b: str, most: int) -> int:
+    step, score, left = _columns(a), len(a), len(b)
+    for c in b:
+        score += step(c, 1)
         left -= 1
         if score - left > most:
             return most + 1
-        more, less = more << 1 | 1, less << 1
-        up, down = mask & (less | ~(flat | more)), mask & more & flat
     return min(score, most + 1)
 
 
+def _least_of_start(a: str, b: str, most: int) -> int:
+    """The least distance of ``a`` and any start of ``b``, or more than ``most``."""
+    step, score = _columns(a), len(a)
+    least = score
+    for c in b:
+        score += step(c, 1)
+        if score <= most:
+            return score
+        least = min(least, score)
+    return least
+
+
 class Hashes:
     """Hashes of any substrings of joined lines in constant time each."""
 
@@ -142,25 +217,34 @@ def _anchors(h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         fits = np.flatnonzero((h.length >= low) & (h.length <= high + allowed(high)))
         if not len(fits):
             continue
-        begins = np.arange(max(len(h.prefix) - gram, 0))
-        grams = h.of(begins, np.full(len(begins), gram))
+        # The grams of all these lines, one line after the other.
+        n = h.length[fits] - gram + 1
+        begin = np.cumsum(n) - n
+        places = np.arange(n.sum()) - np.repeat(begin, n)
+        leasts = grams = h.of(np.repeat(h.start[fits], n) + places, np.full(len(places), gram))
         windows = _windows(h.length[fits], low, high, gram)
+        chosen, width = [], 1
+        at = np.arange(len(grams))
         for window in np.unique(windows).tolist():
-            which = fits[windows == window]
-            n = h.length[which] - gram - window + 2
-            owner = np.repeat(which, n)
-            first = h.start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            at, least = first, grams[first]
-            for k in range(1, window):
-                other = grams[first + k]
-                at, least = np.where(other < least, first + k, at), np.minimum(other, least)
-            new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))
-            key, owner, place = least[new], owner[new], (at - h.start[owner])[new]
-            order = np.lexsort((place, key, owner))
-            key, owner, place = key[order], owner[order], place[order]
-            head = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
-            tail = np.append(head[1:], True)
-            out.append((key[head].view(np.int64), owner[head], place[head], place[tail]))
+            # The first least of as many grams from each one on, from those of narrower windows.
+            while width < window:
+                step = min(width, window - width)
+                less = leasts[step:] < leasts[:-step]
+                at, leasts = np.where(less, at[step:], at[:-step]), np.where(less, leasts[step:], leasts[:-step])
+                width += step
+            which = np.flatnonzero(windows == window)
+            m = n[which] - window + 1
+            owner = np.repeat(which, m)
+            picked = at[begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)]
+            new = np.append(True, (picked[1:] != picked[:-1]) | (owner[1:] != owner[:-1]))
+            chosen.append((picked[new], owner[new]))
+        picked, owner = map(np.concatenate, zip(*chosen))
+        both = mix64(grams[picked] ^ mix64(owner.astype(np.uint64) + _K3))
+        order = np.argsort(both)
+        head = np.flatnonzero(np.append(True, both[order[1:]] != both[order[:-1]]))
+        place = places[picked[order]]
+        first = order[head]
+        out.append((grams[picked[first]].view(np.int64), fits[owner[first]], np.minimum.reduceat(place, head), np.maximum.reduceat(place, head)))
     if not out:
         return (np.zeros(0, np.int64),) * 4
     return tuple(map(np.concatenate, zip(*out)))
@@ -195,20 +279,224 @@ def _texts(batch) -> tuple[list[str], list[int], list[int]]:
     return lines, rows, numbers
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """``meet, v, n, lo, hi`` rows: once for each gram of each distinct line of a batch."""
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: those that vary little lie together."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[:width].tobytes()
+
+
+def _unplaned(data: memoryview, at: int, size: int, width: int = 4) -> tuple[np.ndarray, int]:
+    out = np.zeros((size, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T
+    return out.reshape(-1).view(np.uint32), at + size * width
+
+
+def _steps(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Differences to the number before, but at ``head``; modulo 2^32."""
+    x = x.astype(np.uint32)
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[head] = x[head]
+    return out
+
+
+def _summed(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    total = np.cumsum(x, dtype=np.uint32)
+    lengths = np.diff(np.append(head, len(x)))
+    return total - np.repeat(total[head] - x[head], lengths)
+
+
+def _pack(lengths: np.ndarray, key: np.ndarray, owner: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int):
+    """``bucket, lines, grams, bytes`` of the grams of lines in order of their lengths.
+
+    Of a key, the bucket and 24 bits are kept: what meets by chance is told apart by length, place and text.
+    """
+    key = key.view(np.uint64)
+    bucket = ((key >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    order = np.lexsort((first, bucket << np.uint64(32) | owner.astype(np.uint64)))
+    key, owner, first, last, bucket = key[order], owner[order], first[order], last[order], bucket[order]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+    start = 0
+    for end in ends.tolist():
+        own, lo, hi = owner[start:end], first[start:end], last[start:end]
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        which, count, none = own[head], np.diff(np.append(head, len(own))), np.zeros(0, np.int64)
+        data = b"".join((_planes(_steps(which, none)), _planes(_steps(lengths[which], none)), _planes(count), _planes(key[start:end] & np.uint64(0xFFFFFF), 3), _planes(_steps(lo, head)), _planes(hi - lo)))
+        yield int(bucket[start]), len(which), len(own), pa.Codec("zstd").compress(data, asbytes=True)
+        start = end
+
+
+def _unpack(data: bytes, lines: int, grams: int):
+    """``line, length`` of a packed part's lines and ``key, index of its line, first, last`` of its grams."""
+    raw = pa.Codec("zstd").decompress(data, 12 * lines + 11 * grams, asbytes=True)
+    which, at = _unplaned(raw, 0, lines)
+    length, at = _unplaned(raw, at, lines)
+    count, at = _unplaned(raw, at, lines)
+    key, at = _unplaned(raw, at, grams, 3)
+    lo, at = _unplaned(raw, at, grams)
+    span, at = _unplaned(raw, at, grams)
+    lo = _summed(lo, np.cumsum(count, dtype=np.int64) - count)
+    return np.cumsum(which, dtype=np.uint32), np.cumsum(length, dtype=np.uint32), key, np.repeat(np.arange(lines, dtype=np.int32), count), lo, lo + span
+
+
+def _nibbles(lines: list[str], h: Hashes) -> np.ndarray:
+    """As ``_bag``, but the counts modulo 16, two in a byte."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(lines)), h.length)
+    bags = np.bincount(owner * BAG + points % BAG, minlength=BAG * len(lines)).reshape(-1, BAG) & 15
+    return (bags[:, ::2] | bags[:, 1::2] << 4).astype(np.uint8)
+
+
+def _nibbles_differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most the difference of two lines' bags: counts modulo 16 differ by no more than counts."""
+    out = np.zeros(len(x), np.int64)
+    for shift in (0, 4):
+        apart = ((x >> shift & 15) - (y >> shift & 15)) & 15
+        out += np.minimum(apart, 16 - apart).sum(1)
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+_PACKED = "bucket int, chunk long, lines int, grams int, data binary, bags binary"
+
+
+def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Grams and names of chunks of distinct lines, packed: a chunk has one row for each bucket with grams of it.
+
+    Rows without ``grams`` hold the lines' ids, lengths and bags. A chunk is named by its task and its
+    number there, so a repeated task must read the same rows in the same order, as scans of files do.
+    """
 
     def run(batches):
+        task, number, pending = TaskContext.get().partitionId(), 0, {}
+
+        def flush():
+            nonlocal number
+            lines = sorted(pending, key=len)
+            pending.clear()
+            for lo, hi in slices([len(x) for x in lines], CHUNK):
+                found, ids, bags, length = [], [], [], np.fromiter(map(len, lines[lo:hi]), np.int64, hi - lo)
+                for i, j in slices(length.tolist(), _CHUNK):
+                    own, h = line_ids(lines[lo + i : lo + j])
+                    key, owner, first, last = _anchors(h)
+                    found.append((key, owner + i, first, last))
+                    ids.append(own)
+                    bags.append(_nibbles(lines[lo + i : lo + j], h))
+                chunk = task << 20 | number
+                number += 1
+                rows = [(chunk % buckets, hi - lo, 0, np.concatenate(ids).tobytes() + length.astype(np.uint32).tobytes(), np.concatenate(bags).tobytes())]
+                rows += [(*x, b"") for x in _pack(length, *map(np.concatenate, zip(*found)), buckets)]
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row[0], chunk, *row[1:]), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "lines", "grams", "data", "bags"])
+
+        held = 0
         for batch in batches:
-            lines = list(dict.fromkeys(_texts(batch)[0]))
-            for lo, hi in slices([len(x) for x in lines], _CHUNK):
-                ids, h = line_ids(lines[lo:hi])
-                meet, which, first, last = _anchors(h)
-                for i in range(0, len(meet), 1 << 16):
-                    own = which[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"meet": meet[i : i + (1 << 16)], "v": ids.view(np.int64)[own], "n": h.length[own].astype(np.int32), "lo": first[i : i + (1 << 16)].astype(np.int32), "hi": last[i : i + (1 << 16)].astype(np.int32)})
+            for line in _texts(batch)[0]:
+                if len(line) >= FAMILIES[0][0] and line not in pending:
+                    pending[line] = None
+                    held += len(line)
+                    if held >= CHUNK:
+                        yield from flush()
+                        held = 0
+        if pending:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, _PACKED)
+
+
+def _pairs_of(key, line, lo, hi, length, most: int):
+    """Pairs of lines that a key, length and place let meet, and the grams of keys that let too many."""
+    n = length[line].astype(np.int64)
+    both = key.astype(np.int64) << 32 | n
+    order = np.argsort(both)
+    both, n = both[order], n[order]
+    t = n // 20
+    # How many of the next ones have the same key and are near in length.
+    width = np.searchsorted(both, both + t, "right") - np.arange(len(both)) - 1
+    hot = np.isin(key, np.unique(key[order[width > most]])) if (width > most).any() else np.zeros(len(key), bool)
+    width[hot[order]] = 0
+    starts = np.flatnonzero(width)
+    found = [np.zeros(0, np.int64)]
+    for a, b in slices(width[starts].tolist(), 1 << 21):
+        at = starts[a:b]
+        i = np.repeat(at, width[at])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[at]) - width[at], width[at])
+        x, y, t_i = order[i], order[j], t[i]
+        near = (lo[x] <= hi[y] + t_i) & (lo[y] <= hi[x] + t_i) & (line[x] != line[y])
+        x, y = line[x[near]].astype(np.int64), line[y[near]].astype(np.int64)
+        found.append(np.unique(np.minimum(x, y) << 32 | np.maximum(x, y)))
+    pairs = np.unique(np.concatenate(found))
+    return pairs >> 32, pairs & 0xFFFFFFFF, np.flatnonzero(hot)
+
+
+_MET = "kind int, a long, b long, n int, lo int, hi int, bag binary"
+_NAME, _PAIR, _HOT = 0, 1, 2
+
+
+def _meet(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``_MET``: names of lines, pairs of lines that meet in a bucket, grams of keys with too many pairs."""
+
+    def rows(kind, a, b, n=None, lo=None, hi=None, bag=None):
+        size = len(a)
+        for i in range(0, size, 1 << 16):
+            part = slice(i, i + (1 << 16))
+            columns = [pa.array(np.asarray(x[part]).astype(t)) if x is not None else pa.nulls(len(a[part]), pa.from_numpy_dtype(t)) for x, t in ((a, np.int64), (b, np.int64), (n, np.int32), (lo, np.int32), (hi, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), *columns, _binary(bag[part]) if bag is not None else pa.nulls(len(a[part]), pa.binary())], ["kind", "a", "b", "n", "lo", "hi", "bag"])
 
-    return docs.select("text").mapInArrow(run, "meet long, v long, n int, lo int, hi int")
+    def run(batches):
+        parts, held, bucket = [], 0, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not row["grams"]:
+                    size = row["lines"]
+                    ids, length = np.frombuffer(row["data"], np.int64, size), np.frombuffer(row["data"], np.uint32, size, 8 * size)
+                    yield from rows(_NAME, row["chunk"] << 20 | np.arange(size), ids, length, bag=np.frombuffer(row["bags"], np.uint8).reshape(size, -1))
+                    continue
+                which, length, key, line, lo, hi = _unpack(row["data"], row["lines"], row["grams"])
+                parts.append((row["chunk"] << 20 | which.astype(np.int64), length, key, line + np.int32(held), lo.astype(np.int32), hi.astype(np.int32)))
+                held, bucket = held + len(which), row["bucket"]
+        if parts:
+            node, length, key, line, lo, hi = map(np.concatenate, zip(*parts))
+            parts.clear()
+            a, b, hot = _pairs_of(key, line, lo, hi, length, CROWD)
+            yield from rows(_PAIR, node[a], node[b])
+            yield from rows(_HOT, key[hot].astype(np.int64) << 32 | bucket, node[line[hot]], length[line[hot]], lo[hot], hi[hot])
+
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _MET)
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """``node, root`` of the lines that are linked with others, by their ids."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET))
+    met = written(_meet(_packed(docs, buckets), buckets), "met")
+    # What has been written needs its shuffle no more; it is deleted when the driver's objects are.
+    spark.sparkContext._jvm.System.gc()
+    names = met.where(F.col("kind") == _NAME).select(F.col("a").alias("node"), F.col("b").alias("v"), "n", "bag")
+
+    def alike(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG // 2).astype(np.int16) for c in ("x", "y"))
+            keep = _nibbles_differ(x, y) <= 2 * allowed(batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    def named(side, bag):
+        return names.select(F.col("node").alias(side), F.col("v").alias(f"v_{side}"), F.col("n").alias(f"n_{side}"), F.col("bag").alias(bag))
+
+    pairs = met.where(F.col("kind") == _PAIR).select("a", "b").repartition("a").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").where(F.col("v_a") != F.col("v_b"))
+    pairs = pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b"), "x", "y", F.least("n_a", "n_b").alias("n")).mapInArrow(alike, "a long, b long").distinct()
+    confirm = _confirm(docs)
+    links = written(confirm(written(pairs, "pairs")), "links")
+    hot = met.where(F.col("kind") == _HOT).select(F.col("a").alias("meet"), F.col("b").alias("node"), F.struct("n", "lo", "hi").alias("mark"))
+    if hot.take(1):
+        # Keys under which too many lines meet: these are compared with centres, round by round.
+        members = hot.join(names.select("node", "v"), "node").groupBy("meet", "v").agg(F.struct(F.min("mark.n").alias("n"), F.min("mark.lo").alias("lo"), F.max("mark.hi").alias("hi")).alias("mark"))
+        crowds = grouped_components(written(members, "members"), confirm, _may_link)
+        links = links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -270,21 +558,7 @@ def _confirm(docs: DataFrame):
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line, root, first_id, first_line``: every line and its class's first occurrence."""
-    by_length, by_place = Window.partitionBy("meet").orderBy("n", "v"), Window.partitionBy("meet").orderBy("lo", "v")
-    t = F.floor(F.col("n") / 20)
-    # One sort by key: a row stays if the next shorter or longer line under the same key is near in length.
-    # Rows of one line are equal and lie together, so the outer ones see other lines.
-    near = _signed(docs)
-    for side, f in (("before", F.lag), ("after", F.lead)):
-        near = near.withColumn(side, f(F.struct("v", "n")).over(by_length))
-    short = (F.col("before.v") != F.col("v")) & (F.col("n") - F.col("before.n") <= F.floor(F.col("before.n") / 20))
-    long = (F.col("after.v") != F.col("v")) & (F.col("after.n") - F.col("n") <= t)
-    near = near.where(F.coalesce(short, F.lit(False)) | F.coalesce(long, F.lit(False))).select("meet", "v", "n", "lo", "hi").distinct()
-    # Then, of these, if another's places reach its own.
-    near = near.withColumn("reach", F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.lead("lo").over(by_place))
-    near = near.where((F.col("reach") >= F.col("lo") - t) | (F.col("next") <= F.col("hi") + t))
-    members = written(near.select("meet", "v", F.struct("n", "lo", "hi").alias("mark")), "members")
-    roots = grouped_components(members, _confirm(docs), _may_link)
+    roots = _links(docs)
     found = written(_occurrences(docs), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line")
     distinct = found.groupBy("v", "w").agg(F.min(place).alias("first")).join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
