@@ -8,8 +8,8 @@ hash, of all windows that just fill such a stretch (winnowing): linked lines
 file one gram in common, at places at most ``t`` apart. The windows of a line
 are as narrow as those of any line it may be linked to, and a narrower window
 picks all that a wider one does. Lines that meet under a gram, and agree in
-length and place, are compared first by counts of characters, then by
-bit-parallel edit distance. Links join lines into classes without listing all
+length and place, are compared first by counts of characters, then by edit
+distance. Grams are shuffled packed, a few bytes each (see ``_pack``). Links join lines into classes without listing all
 pairs of a group (see ``components``).
 
 Of the occurrences of a class the first one, by document id and line number,
@@ -42,9 +42,9 @@ BAG = 32
 FEW = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 #: Characters of distinct lines that are packed together, and of all texts for each bucket of keys; pairs under one key for each line there.
-CHUNK, BUCKET, CROWD = 1 << 23, 28_000_000, 256
+CHUNK, BUCKET, CROWD = 1 << 23, 28_000_000, 1024
 _K1, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -312,7 +312,8 @@ def _pack(lengths: np.ndarray, key: np.ndarray, owner: np.ndarray, first: np.nda
     """
     key = key.view(np.uint64)
     bucket = ((key >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-    order = np.lexsort((first, bucket << np.uint64(32) | owner.astype(np.uint64)))
+    # Places beyond 2^24 only lose their order, which no one relies on.
+    order = np.argsort(bucket << np.uint64(46) | owner.astype(np.uint64) << np.uint64(24) | np.minimum(first, (1 << 24) - 1).astype(np.uint64))
     key, owner, first, last, bucket = key[order], owner[order], first[order], last[order], bucket[order]
     ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
     start = 0
@@ -406,44 +407,79 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, _PACKED)
 
 
-def _pairs_of(key, line, lo, hi, length, most: int):
-    """Pairs of lines that a key, length and place let meet, and the grams of keys that let too many."""
-    n = length[line].astype(np.int64)
-    both = key.astype(np.int64) << 32 | n
+def _alive(key, line, lo, hi, length):
+    """The grams that have another's key and nearly its length, in order of key and length: ``key, line, n, lo, hi``."""
+    keys = np.sort(key)
+    often = np.zeros(1 << 24, bool)
+    often[keys[1:][keys[1:] == keys[:-1]]] = True
+    at = np.flatnonzero(often[key])
+    both = key[at].astype(np.int64) << 32 | length[line[at]]
     order = np.argsort(both)
-    both, n = both[order], n[order]
-    t = n // 20
-    # How many of the next ones have the same key and are near in length.
+    at, both = at[order], both[order]
+    end = np.searchsorted(both, both + (both & 0xFFFFFFFF) // 20, "right")
+    # Those that another one's range covers, besides those that have a range.
+    covered = np.arange(1, len(both) + 1) - np.cumsum(np.bincount(end, minlength=len(both) + 1))[:-1]
+    at = at[(end - np.arange(len(both)) > 1) | (covered > 1)]
+    return key[at], line[at], length[line[at]], lo[at], hi[at]
+
+
+def _pairs_of(key, node, n, lo, hi, root, most: int, ahead: int | None = None):
+    """Nodes of different roots that a key, length and place let meet, and which grams have keys that let too many.
+
+    Takes grams in order of key and length; ``ahead`` looks at no more than so many next ones.
+    """
+    both = key.astype(np.int64) << 32 | n
+    t = n.astype(np.int64) // 20
     width = np.searchsorted(both, both + t, "right") - np.arange(len(both)) - 1
-    hot = np.isin(key, np.unique(key[order[width > most]])) if (width > most).any() else np.zeros(len(key), bool)
-    width[hot[order]] = 0
+    hot = np.isin(key, np.unique(key[width > most])) if (width > most).any() else np.zeros(len(key), bool)
+    width[hot] = 0
+    if ahead:
+        width = np.minimum(width, ahead)
     starts = np.flatnonzero(width)
-    found = [np.zeros(0, np.int64)]
+    names, line = np.unique(node, return_inverse=True)
+    found = np.zeros(0, np.int64)
     for a, b in slices(width[starts].tolist(), 1 << 21):
         at = starts[a:b]
         i = np.repeat(at, width[at])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[at]) - width[at], width[at])
-        x, y, t_i = order[i], order[j], t[i]
-        near = (lo[x] <= hi[y] + t_i) & (lo[y] <= hi[x] + t_i) & (line[x] != line[y])
-        x, y = line[x[near]].astype(np.int64), line[y[near]].astype(np.int64)
-        found.append(np.unique(np.minimum(x, y) << 32 | np.maximum(x, y)))
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> 32, pairs & 0xFFFFFFFF, np.flatnonzero(hot)
+        near = (root[i] != root[j]) & (lo[i] <= hi[j] + t[i]) & (lo[j] <= hi[i] + t[i])
+        x, y = line[i[near]], line[j[near]]
+        found = np.unique(np.concatenate([found, np.minimum(x, y) << 32 | np.maximum(x, y)]))
+    return names[found >> 32], names[found & 0xFFFFFFFF], np.flatnonzero(hot)
+
+
+def _pack_alive(key, node, n, lo, hi) -> bytes:
+    none = np.zeros(0, np.int64)
+    raw = b"".join((len(key).to_bytes(8, "little"), _planes(_steps(key, none)), _planes(n), _planes(lo), _planes(hi - lo), _planes(node >> 32), _planes(node & 0xFFFFFFFF)))
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack_alive(data: bytes):
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    size, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for _ in range(6):
+        x, at = _unplaned(raw, at, size)
+        out.append(x)
+    key, n, lo, span, high, low = out
+    return np.cumsum(key, dtype=np.uint32), high.astype(np.int64) << 32 | low, n, lo.astype(np.int64), (lo + span).astype(np.int64)
 
 
 _MET = "kind int, a long, b long, n int, lo int, hi int, bag binary"
-_NAME, _PAIR, _HOT = 0, 1, 2
+_NAME, _PAIR, _ALIVE, _HOT = 0, 1, 2, 3
+#: Buckets whose neighbours are compared first.
+SAMPLED = 2
 
 
-def _meet(packed: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``_MET``: names of lines, pairs of lines that meet in a bucket, grams of keys with too many pairs."""
+def _met_rows(kind, a, b, n=None, lo=None, hi=None, bag=None):
+    size = len(a)
+    for i in range(0, size, 1 << 16):
+        part = slice(i, i + (1 << 16))
+        columns = [pa.array(np.asarray(x[part]).astype(t)) if x is not None else pa.nulls(len(a[part]), pa.from_numpy_dtype(t)) for x, t in ((a, np.int64), (b, np.int64), (n, np.int32), (lo, np.int32), (hi, np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), *columns, (pa.array(bag, pa.binary()) if isinstance(bag, list) else _binary(bag[part])) if bag is not None else pa.nulls(len(a[part]), pa.binary())], ["kind", "a", "b", "n", "lo", "hi", "bag"])
 
-    def rows(kind, a, b, n=None, lo=None, hi=None, bag=None):
-        size = len(a)
-        for i in range(0, size, 1 << 16):
-            part = slice(i, i + (1 << 16))
-            columns = [pa.array(np.asarray(x[part]).astype(t)) if x is not None else pa.nulls(len(a[part]), pa.from_numpy_dtype(t)) for x, t in ((a, np.int64), (b, np.int64), (n, np.int32), (lo, np.int32), (hi, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), *columns, _binary(bag[part]) if bag is not None else pa.nulls(len(a[part]), pa.binary())], ["kind", "a", "b", "n", "lo", "hi", "bag"])
+
+def _meet(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``_MET``: names of lines, grams that others meet, packed, and from ``SAMPLED`` buckets pairs of neighbours."""
 
     def run(batches):
         parts, held, bucket = [], 0, 0
@@ -452,7 +488,7 @@ def _meet(packed: DataFrame, buckets: int) -> DataFrame:
                 if not row["grams"]:
                     size = row["lines"]
                     ids, length = np.frombuffer(row["data"], np.int64, size), np.frombuffer(row["data"], np.uint32, size, 8 * size)
-                    yield from rows(_NAME, row["chunk"] << 20 | np.arange(size), ids, length, bag=np.frombuffer(row["bags"], np.uint8).reshape(size, -1))
+                    yield from _met_rows(_NAME, row["chunk"] << 20 | np.arange(size), ids, length, bag=np.frombuffer(row["bags"], np.uint8).reshape(size, -1))
                     continue
                 which, length, key, line, lo, hi = _unpack(row["data"], row["lines"], row["grams"])
                 parts.append((row["chunk"] << 20 | which.astype(np.int64), length, key, line + np.int32(held), lo.astype(np.int32), hi.astype(np.int32)))
@@ -460,9 +496,12 @@ def _meet(packed: DataFrame, buckets: int) -> DataFrame:
         if parts:
             node, length, key, line, lo, hi = map(np.concatenate, zip(*parts))
             parts.clear()
-            a, b, hot = _pairs_of(key, line, lo, hi, length, CROWD)
-            yield from rows(_PAIR, node[a], node[b])
-            yield from rows(_HOT, key[hot].astype(np.int64) << 32 | bucket, node[line[hot]], length[line[hot]], lo[hot], hi[hot])
+            key, line, n, lo, hi = _alive(key, line, lo, hi, length)
+            node = node[line]
+            if bucket < SAMPLED:
+                a, b, _ = _pairs_of(key, node, n, lo, hi, node, CROWD, 2)
+                yield from _met_rows(_PAIR, a, b)
+            yield from _met_rows(_ALIVE, np.array([bucket]), np.array([len(key)]), bag=[_pack_alive(key, node, n, lo, hi)])
 
     return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _MET)
 
@@ -486,11 +525,34 @@ def _links(docs: DataFrame) -> DataFrame:
     def named(side, bag):
         return names.select(F.col("node").alias(side), F.col("v").alias(f"v_{side}"), F.col("n").alias(f"n_{side}"), F.col("bag").alias(bag))
 
-    pairs = met.where(F.col("kind") == _PAIR).select("a", "b").repartition("a").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").where(F.col("v_a") != F.col("v_b"))
-    pairs = pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b"), "x", "y", F.least("n_a", "n_b").alias("n")).mapInArrow(alike, "a long, b long").distinct()
+    def near(pairs):
+        pairs = pairs.repartition("a").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").where(F.col("v_a") != F.col("v_b"))
+        pairs = pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b"), "x", "y", F.least("n_a", "n_b").alias("n"))
+        return pairs.mapInArrow(alike, "a long, b long").distinct()
+
     confirm = _confirm(docs)
-    links = written(confirm(written(pairs, "pairs")), "links")
-    hot = met.where(F.col("kind") == _HOT).select(F.col("a").alias("meet"), F.col("b").alias("node"), F.struct("n", "lo", "hi").alias("mark"))
+    # Most links are found from few buckets; then all others list the pairs whose roots still differ.
+    links = written(confirm(written(near(met.where(F.col("kind") == _PAIR).select("a", "b")), "pairs")), "links")
+    roots = components(links)
+    known = names.join(roots.select(F.col("node").alias("v"), "root"), "v").select("node", "root").toPandas().sort_values("node")
+    nodes, tops = known["node"].to_numpy(np.int64), known["root"].to_numpy(np.int64)
+
+    def across(batches):
+        for batch in batches:
+            for bucket, data in zip(batch.column("a").to_pylist(), batch.column("bag")):
+                key, node, n, lo, hi = _unpack_alive(data.as_py())
+                root = node.copy()
+                if len(nodes):
+                    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                    root = np.where(nodes[at] == node, tops[at], node)
+                a, b, hot = _pairs_of(key, node, n, lo, hi, root, CROWD)
+                yield from _met_rows(_PAIR, a, b)
+                yield from _met_rows(_HOT, key[hot].astype(np.int64) << 32 | bucket, node[hot], n[hot], lo[hot], hi[hot])
+
+    rest = written(met.where(F.col("kind") == _ALIVE).select("a", "bag").mapInArrow(across, _MET), "rest")
+    spark.sparkContext._jvm.System.gc()
+    links = links.union(written(confirm(written(near(rest.where(F.col("kind") == _PAIR).select("a", "b")), "pairs")), "links"))
+    hot = rest.where(F.col("kind") == _HOT).select(F.col("a").alias("meet"), F.col("b").alias("node"), F.struct("n", "lo", "hi").alias("mark"))
     if hot.take(1):
         # Keys under which too many lines meet: these are compared with centres, round by round.
         members = hot.join(names.select("node", "v"), "node").groupBy("meet", "v").agg(F.struct(F.min("mark.n").alias("n"), F.min("mark.lo").alias("lo"), F.max("mark.hi").alias("hi")).alias("mark"))
