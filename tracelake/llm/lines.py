@@ -1,16 +1,18 @@
-"""Line deduplication by an edit join over shared anchors.
+"""Line deduplication by an edit join over shared anchors, in cells of lines of like lengths.
 
 Two lines are linked if their edit distance is within :func:`allowed` of the
 shorter one: one edit for every whole 20 characters, however long the line is
-(lines under 20 characters must be equal). ``t`` edits leave a stretch of
-``(n - t) / (t + 1)`` characters whole, so every line files the least grams, by
-hash, of all windows that just fill such a stretch (winnowing): linked lines
-file one gram in common, at places at most ``t`` apart. The windows of a line
-are as narrow as those of any line it may be linked to, and a narrower window
-picks all that a wider one does. Lines that meet under a gram, and agree in
-length and place, are compared first by counts of characters, then by edit
-distance. Grams are shuffled packed, a few bytes each (see ``_pack``). Links join lines into classes without listing all
-pairs of a group (see ``components``).
+(lines under 20 characters must be equal). So a line goes to the cell of its
+length and visits those of all greater lengths it may be linked to; a cell and
+its visitors are compared in one task, which has their texts, so no candidate is
+ever written. ``t`` edits leave a stretch of ``(n - t) / (t + 1)`` characters
+whole, so in a cell all lines file the least grams, by hash, of all windows that
+just fill the shortest such stretch (winnowing): linked lines file one gram in
+common, at places at most ``t`` apart. Lines that meet under a gram, agree in
+length and place and are not joined yet are compared first by counts of
+characters, then by edit distance, many pairs at once (see ``_within``). Where
+grams let more pairs meet than there are, all lines near in length are looked at.
+Links join lines into classes (see ``components``).
 
 Of the occurrences of a class the first one, by document id and line number,
 stays; the others are removed. Blank lines are not lines: they stay and are not
@@ -28,12 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
-from tracelake.llm.components import components, grouped_components
+from tracelake.llm.common import mix64, slices, written
+from tracelake.llm.components import components
 
 #: Shortest and longest length of a pair's shorter line, and the grams such pairs meet on.
 FAMILIES = ((20, 39, 10), (40, 1 << 40, 12))
@@ -43,9 +44,12 @@ FEW = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 17
-#: Characters of distinct lines that are packed together, and of all texts for each bucket of keys; pairs under one key for each line there.
-CHUNK, BUCKET, CROWD = 1 << 23, 28_000_000, 1024
+#: Characters of distinct lines that are sent together, and of the lines of a cell; lines of a cell that a line may meet under one key before those of narrower keys are joined.
+CHUNK, BUCKET, CROWD = 1 << 23, 20_000_000, 1024
+#: Lines that visit a cell at once; edits beyond which pairs are compared one by one.
+VISITORS, WIDE = 1 << 16, 250
 _K1, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
+_MIXED, _powers = mix64(np.arange(1 << 14, dtype=np.uint64) + _K3), np.ones(1, np.uint64)
 
 
 def allowed(length):
@@ -195,6 +199,26 @@ def line_ids(lines: list[str]) -> tuple[np.ndarray, "Hashes | None"]:
     return h.of(h.start, h.length), h
 
 
+def _ids(lines: list[str]) -> np.ndarray:
+    """64-bit hashes that name lines."""
+    global _powers
+    if not lines:
+        return np.zeros(0, np.int64)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = np.cumsum(length) - length
+    if length.max() > len(_powers):
+        _powers = np.full(int(length.max()), _BASE, np.uint64)
+        _powers[0] = 1
+        np.multiply.accumulate(_powers, out=_powers)
+    if points.max() < len(_MIXED):
+        terms = _MIXED[points]
+    else:
+        terms = mix64(points.astype(np.uint64) + _K3)
+    terms *= _powers[np.arange(len(points)) - np.repeat(start, length)]
+    return mix64(np.add.reduceat(terms, start) + length.astype(np.uint64) * _K1).view(np.int64)
+
+
 def _whole(length: np.ndarray) -> np.ndarray:
     """Characters that the allowed edits leave whole in a row, at least."""
     t = allowed(length)
@@ -210,6 +234,10 @@ def _windows(length: np.ndarray, low: int, high: int, gram: int) -> np.ndarray:
     return np.where(step <= np.minimum(length, high), np.minimum(_whole(least), _whole(step)), _whole(least)) - gram + 1
 
 
+# From here to ``_keys``, and from ``_planes`` to ``_unpack``: packed grams of a join by key, which no query uses
+# since lines meet in cells; their tests still hold them.
+
+
 def _anchors(h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(key, index of the line, first place, last place)`` of every gram that a line files."""
     out = []
@@ -255,12 +283,6 @@ def _keys(h: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return _anchors(h)[:2]
 
 
-def _may_link(a, b):
-    """On two marks ``n, lo, hi``: lengths and places that the allowed edits can join."""
-    most = F.floor(F.least(a["n"], b["n"]) / 20)
-    return (F.abs(a["n"] - b["n"]) <= most) & (a["lo"] - most <= b["hi"]) & (b["lo"] - most <= a["hi"])
-
-
 def _bag(line: str) -> bytes:
     """Counts of a line's characters, folded to ``BAG`` bytes; an edit changes their sum of differences by two at most."""
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -339,225 +361,381 @@ def _unpack(data: bytes, lines: int, grams: int):
     return np.cumsum(which, dtype=np.uint32), np.cumsum(length, dtype=np.uint32), key, np.repeat(np.arange(lines, dtype=np.int32), count), lo, lo + span
 
 
-def _nibbles(lines: list[str], h: Hashes) -> np.ndarray:
-    """As ``_bag``, but the counts modulo 16, two in a byte."""
+def _whole_at_least(low: int, high: int) -> int:
+    """Characters that stay whole in a row in any two linked lines, if the longer has ``low`` to ``high``."""
+    # The shortest n with n + n // 20 >= low; whole stretches of longer lines than the next multiples of 20 are no shorter.
+    least = max(20 * (low // 21) + low % 21, FAMILIES[0][0])
+    return int(_whole(np.arange(least, min(high, least + 60) + 1)).min())
+
+
+def _gram_hashes(points: np.ndarray, gram: int) -> np.ndarray:
+    """A 32-bit hash of ``gram`` characters from each one on, by doubling."""
+    x = points * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    size = 1
+    while size < gram:
+        step = min(size, gram - size)
+        x = x[:-step] * np.uint32(0xC2B2AE3D) + x[step:] * np.uint32(0x27D4EB2F)
+        x ^= x >> np.uint32(13)
+        size += step
+    for factor, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        x *= np.uint32(factor)
+        x ^= x >> np.uint32(shift)
+    return x
+
+
+def _picks(lines: list[str], whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``key, index of the line, place`` of the least grams of all windows of ``whole`` characters, and the lines' bags."""
+    window = (whole + 1) // 4
+    gram = whole - window + 1
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    owner = np.repeat(np.arange(len(lines)), length)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(lines)), h.length)
-    bags = np.bincount(owner * BAG + points % BAG, minlength=BAG * len(lines)).reshape(-1, BAG) & 15
-    return (bags[:, ::2] | bags[:, 1::2] << 4).astype(np.uint8)
-
-
-def _nibbles_differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """At most the difference of two lines' bags: counts modulo 16 differ by no more than counts."""
-    out = np.zeros(len(x), np.int64)
-    for shift in (0, 4):
-        apart = ((x >> shift & 15) - (y >> shift & 15)) & 15
-        out += np.minimum(apart, 16 - apart).sum(1)
+    bags = np.minimum(np.bincount(owner * BAG + points % BAG, minlength=BAG * len(lines)), 255).astype(np.uint8).reshape(-1, BAG)
+    grams = _gram_hashes(points, gram)
+    least, width = grams, 1
+    while width < window:
+        step = min(width, window - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    # Windows that reach into the next line do not count.
+    inside = np.ones(len(least), bool)
+    end = np.cumsum(length)
+    across = (end[:, None] - np.arange(1, whole)).ravel()
+    inside[across[across < len(least)]] = False
+    picked = np.zeros(len(grams), bool)
+    for i in range(window):
+        picked[i : i + len(least)] |= (least == grams[i : i + len(least)]) & inside
+    at = np.flatnonzero(picked)
+    return grams[at], owner[at], at - (end - length)[owner[at]], bags
+
+
+class _Filed:
+    """The grams of lines in order of their lengths, in order of key and line: ``both`` has key and line, ``lo`` and ``hi`` the places."""
+
+    def __init__(self, lines: list[str], whole: int, bits: int, shift: int):
+        self.lines, self.length = lines, np.fromiter(map(len, lines), np.int64, len(lines))
+        self.bits, found, bags = np.uint64(bits), [], []
+        for i, j in slices(self.length.tolist(), _CHUNK):
+            key, owner, place, own = _picks(lines[i:j], whole)
+            # 15 bits of place, and as many of the key as are left beside the line.
+            found.append(key.astype(np.uint64) >> np.uint64(max(0, bits - 17)) << np.uint64(bits + 15) | (owner + i).astype(np.uint64) << np.uint64(15) | (place >> shift).astype(np.uint64))
+            bags.append(own)
+        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        found.clear()
+        grams.sort()
+        self.bags = np.concatenate(bags) if bags else np.zeros((0, BAG), np.uint8)
+        # Of a key that a line has more than once, one row stays; arrays are let go as soon as they can be.
+        head = np.ones(len(grams) + 1, bool)
+        head[1:-1] = (grams[1:] ^ grams[:-1]) > np.uint64(0x7FFF)
+        place = (grams & np.uint64(0x7FFF)).astype(np.int16)
+        self.lo, self.hi = place[head[:-1]], place[head[1:]]
+        grams >>= np.uint64(15)
+        self.both = grams if head.all() else grams[head[:-1]]
+
+    def key(self) -> np.ndarray:
+        return self.both >> self.bits
+
+    def line(self, at: np.ndarray) -> np.ndarray:
+        return (self.both[at] & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(np.int64)
+
+
+def _ranges(start: np.ndarray, width: np.ndarray):
+    """``index, place`` of all places of ranges, some at a time."""
+    for a, b in slices(width.tolist(), 1 << 19):
+        i = np.repeat(np.arange(a, b), width[a:b])
+        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b])
+
+
+def _within(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether the lines of each pair, the shorter first, have no more than the allowed edits.
+
+    The table's cells near the diagonal are filled for many pairs at once, one antidiagonal after the other.
+    """
+    n, m = (np.array([len(x[i]) for x in pairs], np.int64) for i in (0, 1))
+    most, out = allowed(n), np.zeros(len(pairs), bool)
+    order = np.argsort(n + m)
+    for i in order[most[order] > WIDE].tolist():
+        out[i] = edit_distance(*pairs[i], int(most[i])) <= most[i]
+    order = order[(most[order] <= WIDE) & (m[order] - n[order] <= most[order])]
+    for lo, hi in slices((n[order] + m[order]).tolist(), 1 << 21):
+        some = order[lo:hi]
+        out[some] = _band([pairs[i] for i in some.tolist()], n[some], m[some], most[some])
     return out
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
-
-
-_PACKED = "bucket int, chunk long, lines int, grams int, data binary, bags binary"
-
+def _band(pairs, n, m, most) -> np.ndarray:
+    t, size = int(most.max()), int(max(n.max(), m.max()))
+    both = [np.frombuffer("".join(x[i] for x in pairs).encode("utf-32-le", "surrogatepass"), np.uint32) for i in (0, 1)]
+    if max(int(x.max()) for x in both) > 255:
+        seen = np.zeros(0x110000, bool)
+        for x in both:
+            seen[x] = True
+        codes = np.cumsum(seen)
+        both = [codes[x] for x in both]
+    kind = np.uint8 if max(int(x.max()) for x in both) < 256 else np.uint32
+    grids = []
+    for points, length in zip(both, (n, m)):
+        # What lies beyond a line's ends is never read back.
+        grid = np.zeros((size + 2 * t + 4, len(pairs)), kind)
+        grid[np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length) + t + 1, np.repeat(np.arange(len(pairs)), length)] = points
+        grids.append(grid)
+    a, b = grids[0], np.ascontiguousarray(grids[1][::-1])
+    last = len(b) - 1
+    kind, far = (np.uint8, 250) if t < 120 else (np.uint16, 60000)
+    # Row k of an antidiagonal s holds cell (i, s - i) with i - (s - i) = 2 k - t (even ones of s + t) or 2 k - t + 1 (odd ones).
+    out, own, n, m, most = np.zeros(len(pairs), bool), np.arange(len(pairs)), n.copy(), m.copy(), most.copy()
+    before = np.full((t + 1, len(pairs)), far, kind)
+    now = np.full((t + 1, len(pairs)), far, kind)
+    now[t // 2] = 0
+    end = n + m
+    for s in range(1, int(end.max()) + 1):
+        odd = (s + t) % 2
+        # Cells above and left lie on the antidiagonal before, at rows k - 1 + odd and k + odd; diagonal ones two before, at row k.
+        low = (s - t + odd) // 2
+        new = np.empty_like(now)
+        if odd:
+            np.minimum(now[:-1], now[1:], out=new[:-1])
+            new[-1] = now[-1]
+        else:
+            np.minimum(now[:-1], now[1:], out=new[1:])
+            new[0] = now[0]
+        new += 1
+        # Places of characters: i - 1 in a and s - i - 1 in b, behind t + 1 marks.
+        i, j = low + t, last - (s - low + t)
+        unlike = a[i : i + t + 1] != b[j : j + t + 1]
+        np.minimum(new, before + unlike, out=new)
+        np.minimum(new, far, out=new)
+        # Cells outside of the table.
+        if low < 0:
+            new[:-low] = far
+        if low + t > s:
+            new[s - low + 1 :] = far
+        before, now = now, new
+        ends = np.flatnonzero(end == s)
+        if len(ends):
+            out[own[ends]] = now[n[ends] - low, ends] <= most[ends]
+        if s % 64 == 0:
+            alive = (end > s) & (np.minimum(now.min(0), before.min(0)) <= most)
+            if not alive.any():
+                break
+            if alive.sum() < 0.7 * len(alive):
+                a, b, before, now = (np.ascontiguousarray(x[:, alive]) for x in (a, b, before, now))
+                own, n, m, most, end = (x[alive] for x in (own, n, m, most, end))
+    return out
 
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Grams and names of chunks of distinct lines, packed: a chunk has one row for each bucket with grams of it.
 
-    Rows without ``grams`` hold the lines' ids, lengths and bags. A chunk is named by its task and its
-    number there, so a repeated task must read the same rows in the same order, as scans of files do.
+class _Cell:
+    """Links between lines of a cell and of those that visit it."""
+
+    def __init__(self, lines: set[str], whole: int):
+        self.longest = max(map(len, lines), default=0)
+        self.bits, self.shift, self.whole = max(len(lines), VISITORS).bit_length(), max(0, self.longest.bit_length() - 15), whole
+        self.home = _Filed(sorted(lines, key=len), whole, self.bits, self.shift)
+        self.parent = np.arange(len(lines))
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.home.key() & np.uint64((1 << 22) - 1)] = True
+
+    def inner(self):
+        both = self.home.both
+        same = (both[1:] ^ both[:-1]) < np.uint64(1) << self.home.bits
+        yield from self._links(self.home, np.flatnonzero(np.append(same, False)), True)
+
+    def visit(self, lines: list[str]):
+        """``lines`` are in order of length and no longer than the home's longest."""
+        guests = _Filed(lines, self.whole, self.bits, self.shift)
+        yield from self._links(guests, np.flatnonzero(self.table[guests.key() & np.uint64((1 << 22) - 1)]), False)
+
+    def _links(self, guests: _Filed, at: np.ndarray, own: bool):
+        """Pairs of a guest and a longer (or equally long) line of the home that are linked, until all roots are joined."""
+        home, base = self.home, 0 if own else len(self.home.lines)
+        if not len(home.lines) or not len(at):
+            return
+        parent = self.parent if own else np.concatenate([self.parent, base + np.arange(len(guests.lines))])
+        most = allowed(guests.length)
+        first = np.arange(1, len(guests.lines) + 1) if own else np.searchsorted(home.length, guests.length)
+        after = np.searchsorted(home.length, guests.length + most, "right")
+        tried = np.zeros(0, np.int64)
+        line, key = guests.line(at), guests.both[at] >> self.bits << self.bits
+        start = np.searchsorted(home.both, key | first[line].astype(np.uint64))
+        width = np.searchsorted(home.both, key | after[line].astype(np.uint64)) - start
+        start, width, at, line = (x[width > 0] for x in (start, width, at, line))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def settled():
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    return up
+                parent[:] = up
+
+        def looked(x, y):
+            """Links of guests ``x`` and lines ``y`` whose roots differ, some of each guest at a time."""
+            nonlocal tried
+            pairs = np.unique(x << 32 | y)
+            if len(tried):
+                pairs = pairs[tried[np.minimum(np.searchsorted(tried, pairs), len(tried) - 1)] != pairs]
+            x, y = pairs >> 32, pairs & 0xFFFFFFFF
+            keep = np.zeros(len(x), bool)
+            for i in range(0, len(x), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                keep[part] = np.abs(guests.bags[x[part]].astype(np.int16) - home.bags[y[part]]).sum(1) <= 2 * most[x[part]]
+            x, y, some = x[keep], y[keep], 1
+            while len(x):
+                head = np.append(True, x[1:] != x[:-1])
+                take = np.arange(len(x)) - np.flatnonzero(head)[np.cumsum(head) - 1] < some
+                linked = _within([(guests.lines[i], home.lines[j]) for i, j in zip(x[take].tolist(), y[take].tolist())])
+                for i, j in zip(x[take][linked].tolist(), y[take][linked].tolist()):
+                    p, q = root(base + i), root(j)
+                    # Homes' roots are homes, so that they outlast a visit.
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        yield i, j
+                tried = np.union1d(tried, (x[take] << 32 | y[take])[~linked])
+                roots = settled()
+                rest = ~take & (roots[base + x] != roots[y])
+                x, y, some = x[rest], y[rest], 2 * some
+
+        wide = width > CROWD
+        crowded = np.unique(line[wide])
+        # Where keys let more pairs meet than there are, all lines near in length are looked at instead.
+        by_line = int((after - first)[crowded].sum()) < int(width[wide].sum())
+        for which in (~wide, wide if not by_line else np.zeros(len(wide), bool)):
+            begin, own_at, own_line = start[which], at[which], line[which]
+            for i, j in _ranges(begin, width[which]):
+                roots = settled()
+                x, y, g = own_line[i], home.line(j), own_at[i]
+                t = (most[x] >> self.shift) + (self.shift > 0)
+                near = (roots[base + x] != roots[y]) & (guests.lo[g] <= home.hi[j] + t) & (home.lo[j] <= guests.hi[g] + t)
+                yield from looked(x[near], y[near])
+        if by_line:
+            for i, j in _ranges(first[crowded], np.maximum(after - first, 0)[crowded]):
+                roots = settled()
+                x = crowded[i]
+                near = roots[base + x] != roots[j]
+                yield from looked(x[near], j[near])
+        self.parent = parent[: len(home.lines)]
+
+
+def _cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least length of each class of lengths, and in how many parts its lines lie: cells of some ``BUCKET`` characters.
+
+    Lengths are counted to half a per cent, so that few counts come to the driver, and in one text of eight, by hash.
+    Only the cells' sizes depend on that, not what is linked.
     """
+    size = F.length("line")
+    found = docs.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select(F.explode(F.split("text", "\n")).alias("line")).where(size >= FAMILIES[0][0]).groupBy(F.floor(F.log(size.cast("double")) * 200).alias("step")).agg(F.sum(8 * size.cast("long")).alias("chars")).toPandas().sort_values("step")
+    goal = max(1, min(BUCKET, int(found["chars"].sum()) // (2 * docs.sparkSession.sparkContext.defaultParallelism)))
+    starts, held = [FAMILIES[0][0]], [0]
+    # Classes end where whole stretches get longer.
+    stops = [40, 60, 100, 200, 400]
+    for step, chars in zip(found["step"].tolist(), found["chars"].tolist()):
+        least = int(np.ceil(np.exp(step / 200)))
+        passed = [x for x in stops if x <= least]
+        if least > starts[-1] and (passed or held[-1] and held[-1] + chars > goal):
+            starts.append(max([least, *passed]))
+            held.append(0)
+            stops = stops[len(passed) :]
+        held[-1] += chars
+    return np.array(starts), np.array([max(1, -(-x // (2 * BUCKET))) for x in held])
+
+
+def _spread(docs: DataFrame, starts: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """``cell, visitor, bytes, data``: lines, packed, for the cell of their length and those of lengths that they may be linked to."""
+    base = np.cumsum(parts) - parts
+
+    def flush(lines: list[str]):
+        lines.sort(key=len)
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        own, last = (np.searchsorted(starts, x, "right") - 1 for x in (length, length + allowed(length)))
+        part = np.zeros(len(lines), np.int64)
+        many = np.flatnonzero(parts[own] > 1)
+        for i, j in slices(length[many].tolist(), _CHUNK):
+            part[many[i:j]] = _ids([lines[k] for k in many[i:j].tolist()]) % parts[own[many[i:j]]]
+        order = np.lexsort((length, part, last, own))
+        groups = np.stack([own, last, part])[:, order]
+        edges = [0, *(np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(0)) + 1).tolist(), len(order)]
+        for i, j in zip(edges, edges[1:]):
+            raw = "\n".join([lines[k] for k in order[i:j].tolist()]).encode("utf-8", "surrogatepass")
+            data = pa.Codec("zstd", 1).compress(raw, asbytes=True)
+            first, to, at = groups[:, i].tolist()
+            cells = [int(base[first] + at)] + [c for c in range(int(base[first]), int(base[to] + parts[to])) if c != base[first] + at]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([c != cells[0] for c in cells]), pa.array([len(raw)] * len(cells), pa.int32()), pa.array([data] * len(cells), pa.binary())], ["cell", "visitor", "bytes", "data"])
 
     def run(batches):
-        task, number, pending = TaskContext.get().partitionId(), 0, {}
-
-        def flush():
-            nonlocal number
-            lines = sorted(pending, key=len)
-            pending.clear()
-            for lo, hi in slices([len(x) for x in lines], CHUNK):
-                found, ids, bags, length = [], [], [], np.fromiter(map(len, lines[lo:hi]), np.int64, hi - lo)
-                for i, j in slices(length.tolist(), _CHUNK):
-                    own, h = line_ids(lines[lo + i : lo + j])
-                    key, owner, first, last = _anchors(h)
-                    found.append((key, owner + i, first, last))
-                    ids.append(own)
-                    bags.append(_nibbles(lines[lo + i : lo + j], h))
-                chunk = task << 20 | number
-                number += 1
-                rows = [(chunk % buckets, hi - lo, 0, np.concatenate(ids).tobytes() + length.astype(np.uint32).tobytes(), np.concatenate(bags).tobytes())]
-                rows += [(*x, b"") for x in _pack(length, *map(np.concatenate, zip(*found)), buckets)]
-                for row in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((row[0], chunk, *row[1:]), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "lines", "grams", "data", "bags"])
-
-        held = 0
+        pending, held = {}, 0
         for batch in batches:
             for line in _texts(batch)[0]:
                 if len(line) >= FAMILIES[0][0] and line not in pending:
                     pending[line] = None
                     held += len(line)
                     if held >= CHUNK:
-                        yield from flush()
-                        held = 0
+                        yield from flush(list(pending))
+                        pending, held = {}, 0
         if pending:
-            yield from flush()
+            yield from flush(list(pending))
 
-    return docs.select("text").mapInArrow(run, _PACKED)
+    return docs.select("text").mapInArrow(run, "cell int, visitor boolean, bytes int, data binary")
 
 
-def _alive(key, line, lo, hi, length):
-    """The grams that have another's key and nearly its length, in order of key and length: ``key, line, n, lo, hi``."""
-    keys = np.sort(key)
-    often = np.zeros(1 << 24, bool)
-    often[keys[1:][keys[1:] == keys[:-1]]] = True
-    at = np.flatnonzero(often[key])
-    both = key[at].astype(np.int64) << 32 | length[line[at]]
-    order = np.argsort(both)
-    at, both = at[order], both[order]
-    end = np.searchsorted(both, both + (both & 0xFFFFFFFF) // 20, "right")
-    # Those that another one's range covers, besides those that have a range.
-    covered = np.arange(1, len(both) + 1) - np.cumsum(np.bincount(end, minlength=len(both) + 1))[:-1]
-    at = at[(end - np.arange(len(both)) > 1) | (covered > 1)]
-    return key[at], line[at], length[line[at]], lo[at], hi[at]
+def _links(docs: DataFrame) -> DataFrame:
+    """``node, root`` of the lines that are linked with others, by their ids."""
+    starts, parts = _cells(docs)
+    highest = np.append(starts[1:] - 1, 1 << 40)
+    whole = np.repeat([_whole_at_least(a, b) for a, b in zip(starts.tolist(), highest.tolist())], parts)
 
+    def run(batches):
+        home, guests, held, cell, state = set(), set(), 0, 0, None
 
-def _pairs_of(key, node, n, lo, hi, root, most: int, ahead: int | None = None):
-    """Nodes of different roots that a key, length and place let meet, and which grams have keys that let too many.
+        def rows(found, lines):
+            pairs = list(found)
+            for i in range(0, len(pairs), 1 << 12):
+                own, other = ([x[k] for x in pairs[i : i + (1 << 12)]] for k in (0, 1))
+                ids = [np.concatenate([_ids(x[lo:hi]) for lo, hi in slices([len(y) for y in x], _CHUNK)]) for x in ([lines[k] for k in own], [state.home.lines[k] for k in other])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ids], ["a", "b"])
 
-    Takes grams in order of key and length; ``ahead`` looks at no more than so many next ones.
-    """
-    both = key.astype(np.int64) << 32 | n
-    t = n.astype(np.int64) // 20
-    width = np.searchsorted(both, both + t, "right") - np.arange(len(both)) - 1
-    hot = np.isin(key, np.unique(key[width > most])) if (width > most).any() else np.zeros(len(key), bool)
-    width[hot] = 0
-    if ahead:
-        width = np.minimum(width, ahead)
-    starts = np.flatnonzero(width)
-    names, line = np.unique(node, return_inverse=True)
-    found = np.zeros(0, np.int64)
-    for a, b in slices(width[starts].tolist(), 1 << 21):
-        at = starts[a:b]
-        i = np.repeat(at, width[at])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[at]) - width[at], width[at])
-        near = (root[i] != root[j]) & (lo[i] <= hi[j] + t[i]) & (lo[j] <= hi[i] + t[i])
-        x, y = line[i[near]], line[j[near]]
-        found = np.unique(np.concatenate([found, np.minimum(x, y) << 32 | np.maximum(x, y)]))
-    return names[found >> 32], names[found & 0xFFFFFFFF], np.flatnonzero(hot)
-
-
-def _pack_alive(key, node, n, lo, hi) -> bytes:
-    none = np.zeros(0, np.int64)
-    raw = b"".join((len(key).to_bytes(8, "little"), _planes(_steps(key, none)), _planes(n), _planes(lo), _planes(hi - lo), _planes(node >> 32), _planes(node & 0xFFFFFFFF)))
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _unpack_alive(data: bytes):
-    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-    size, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for _ in range(6):
-        x, at = _unplaned(raw, at, size)
-        out.append(x)
-    key, n, lo, span, high, low = out
-    return np.cumsum(key, dtype=np.uint32), high.astype(np.int64) << 32 | low, n, lo.astype(np.int64), (lo + span).astype(np.int64)
-
-
-_MET = "kind int, a long, b long, n int, lo int, hi int, bag binary"
-_NAME, _PAIR, _ALIVE, _HOT = 0, 1, 2, 3
-#: Buckets whose neighbours are compared first.
-SAMPLED = 2
-
-
-def _met_rows(kind, a, b, n=None, lo=None, hi=None, bag=None):
-    size = len(a)
-    for i in range(0, size, 1 << 16):
-        part = slice(i, i + (1 << 16))
-        columns = [pa.array(np.asarray(x[part]).astype(t)) if x is not None else pa.nulls(len(a[part]), pa.from_numpy_dtype(t)) for x, t in ((a, np.int64), (b, np.int64), (n, np.int32), (lo, np.int32), (hi, np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), *columns, (pa.array(bag, pa.binary()) if isinstance(bag, list) else _binary(bag[part])) if bag is not None else pa.nulls(len(a[part]), pa.binary())], ["kind", "a", "b", "n", "lo", "hi", "bag"])
-
-
-def _meet(packed: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``_MET``: names of lines, grams that others meet, packed, and from ``SAMPLED`` buckets pairs of neighbours."""
+        def opened():
+            nonlocal state, home
+            state, home = _Cell(home, int(whole[cell])), None
+            yield from rows(state.inner(), state.home.lines)
+
+        def visited():
+            lines = sorted(guests, key=len)
+            guests.clear()
+            yield from rows(state.visit(lines), lines)
 
-    def run(batches):
-        parts, held, bucket = [], 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if not row["grams"]:
-                    size = row["lines"]
-                    ids, length = np.frombuffer(row["data"], np.int64, size), np.frombuffer(row["data"], np.uint32, size, 8 * size)
-                    yield from _met_rows(_NAME, row["chunk"] << 20 | np.arange(size), ids, length, bag=np.frombuffer(row["bags"], np.uint8).reshape(size, -1))
+            for row in range(batch.num_rows):
+                cell, visitor, size, data = (batch.column(c)[row] for c in ("cell", "visitor", "bytes", "data"))
+                cell = cell.as_py()
+                lines = pa.Codec("zstd").decompress(data.as_buffer(), size.as_py(), asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+                if not visitor.as_py():
+                    home.update(lines)
                     continue
-                which, length, key, line, lo, hi = _unpack(row["data"], row["lines"], row["grams"])
-                parts.append((row["chunk"] << 20 | which.astype(np.int64), length, key, line + np.int32(held), lo.astype(np.int32), hi.astype(np.int32)))
-                held, bucket = held + len(which), row["bucket"]
-        if parts:
-            node, length, key, line, lo, hi = map(np.concatenate, zip(*parts))
-            parts.clear()
-            key, line, n, lo, hi = _alive(key, line, lo, hi, length)
-            node = node[line]
-            if bucket < SAMPLED:
-                a, b, _ = _pairs_of(key, node, n, lo, hi, node, CROWD, 2)
-                yield from _met_rows(_PAIR, a, b)
-            yield from _met_rows(_ALIVE, np.array([bucket]), np.array([len(key)]), bag=[_pack_alive(key, node, n, lo, hi)])
-
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _MET)
-
-
-def _links(docs: DataFrame) -> DataFrame:
-    """``node, root`` of the lines that are linked with others, by their ids."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET))
-    met = written(_meet(_packed(docs, buckets), buckets), "met")
+                if state is None:
+                    yield from opened()
+                for line in lines:
+                    if line not in guests and len(line) <= state.longest:
+                        guests.add(line)
+                        held += len(line)
+                        if held >= CHUNK // 2 or len(guests) >= VISITORS:
+                            yield from visited()
+                            held = 0
+        if home:
+            yield from opened()
+        if guests:
+            yield from visited()
+
+    met = _spread(docs, starts, parts).repartitionById(int(parts.sum()), F.col("cell")).sortWithinPartitions("visitor")
+    links = written(met.mapInArrow(run, "a long, b long"), "links")
     # What has been written needs its shuffle no more; it is deleted when the driver's objects are.
-    spark.sparkContext._jvm.System.gc()
-    names = met.where(F.col("kind") == _NAME).select(F.col("a").alias("node"), F.col("b").alias("v"), "n", "bag")
-
-    def alike(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG // 2).astype(np.int16) for c in ("x", "y"))
-            keep = _nibbles_differ(x, y) <= 2 * allowed(batch.column("n").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    def named(side, bag):
-        return names.select(F.col("node").alias(side), F.col("v").alias(f"v_{side}"), F.col("n").alias(f"n_{side}"), F.col("bag").alias(bag))
-
-    def near(pairs):
-        pairs = pairs.repartition("a").distinct().join(named("a", "x"), "a").join(named("b", "y"), "b").where(F.col("v_a") != F.col("v_b"))
-        pairs = pairs.select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b"), "x", "y", F.least("n_a", "n_b").alias("n"))
-        return pairs.mapInArrow(alike, "a long, b long").distinct()
-
-    confirm = _confirm(docs)
-    # Most links are found from few buckets; then all others list the pairs whose roots still differ.
-    links = written(confirm(written(near(met.where(F.col("kind") == _PAIR).select("a", "b")), "pairs")), "links")
-    roots = components(links)
-    known = names.join(roots.select(F.col("node").alias("v"), "root"), "v").select("node", "root").toPandas().sort_values("node")
-    nodes, tops = known["node"].to_numpy(np.int64), known["root"].to_numpy(np.int64)
-
-    def across(batches):
-        for batch in batches:
-            for bucket, data in zip(batch.column("a").to_pylist(), batch.column("bag")):
-                key, node, n, lo, hi = _unpack_alive(data.as_py())
-                root = node.copy()
-                if len(nodes):
-                    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                    root = np.where(nodes[at] == node, tops[at], node)
-                a, b, hot = _pairs_of(key, node, n, lo, hi, root, CROWD)
-                yield from _met_rows(_PAIR, a, b)
-                yield from _met_rows(_HOT, key[hot].astype(np.int64) << 32 | bucket, node[hot], n[hot], lo[hot], hi[hot])
-
-    rest = written(met.where(F.col("kind") == _ALIVE).select("a", "bag").mapInArrow(across, _MET), "rest")
-    spark.sparkContext._jvm.System.gc()
-    links = links.union(written(confirm(written(near(rest.where(F.col("kind") == _PAIR).select("a", "b")), "pairs")), "links"))
-    hot = rest.where(F.col("kind") == _HOT).select(F.col("a").alias("meet"), F.col("b").alias("node"), F.struct("n", "lo", "hi").alias("mark"))
-    if hot.take(1):
-        # Keys under which too many lines meet: these are compared with centres, round by round.
-        members = hot.join(names.select("node", "v"), "node").groupBy("meet", "v").agg(F.struct(F.min("mark.n").alias("n"), F.min("mark.lo").alias("lo"), F.max("mark.hi").alias("hi")).alias("mark"))
-        crowds = grouped_components(written(members, "members"), confirm, _may_link)
-        links = links.union(crowds.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    docs.sparkSession.sparkContext._jvm.System.gc()
     return components(links)
 
 
@@ -568,8 +746,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             lines, rows, numbers = _texts(batch)
-            ids = [line_ids(lines[lo:hi])[0] for lo, hi in slices([len(x) for x in lines], _CHUNK)]
-            v = np.concatenate(ids).view(np.int64) if ids else np.zeros(0, np.int64)
+            ids = [_ids(lines[lo:hi]) for lo, hi in slices([len(x) for x in lines], _CHUNK)]
+            v = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             owner = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("text_key").take(owner), pa.array(numbers, pa.int32()), pa.array(v), pa.array(lines, pa.string())], ["doc_id", "text_key", "line", "v", "content"])
 
@@ -577,47 +755,6 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, line int, v long, content string").withColumn("w", F.xxhash64("content")).drop("content")
 
 
-def _confirm(docs: DataFrame):
-    def confirm(pairs):
-        ends = written(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "ends")
-        # The ids are hashes already, so their low bits are the filter's place.
-        bits = id_filter(ends, F.pmod("v", F.lit(FILTER_BITS)))
-
-        def texts(batches):
-            for batch in batches:
-                lines = _texts(batch)[0]
-                for lo, hi in slices([len(x) for x in lines], _CHUNK):
-                    ids = line_ids(lines[lo:hi])[0].view(np.int64)
-                    at = ids & (FILTER_BITS - 1)
-                    hit = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-                    found = [lines[lo + i] for i in hit.tolist()]
-                    yield pa.RecordBatch.from_pydict({"v": ids[hit], "bag": pa.array(map(_bag, found), pa.binary()), "n": pa.array(map(len, found), pa.int32()), "content": pa.array(found, pa.string())})
-
-        def alike(batches):
-            for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("x", "y"))
-                keep = np.abs(x - y).sum(1) <= 2 * allowed(batch.column("n").to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-        known = docs.select("text").mapInArrow(texts, "v long, bag binary, n int, content string")
-        known = written(known.join(ends, "v", "left_semi").dropDuplicates(["v"]), "texts")
-        bags = pairs.join(known.select(F.col("v").alias("a"), F.col("bag").alias("x"), F.col("n").alias("n_a")), "a").join(known.select(F.col("v").alias("b"), F.col("bag").alias("y"), F.col("n").alias("n_b")), "b")
-        near = written(bags.select("a", "b", "x", "y", F.least("n_a", "n_b").alias("n")).mapInArrow(alike, "a long, b long"), "near")
-        met = near.join(known.select(F.col("v").alias("a"), F.col("content").alias("x")), "a").join(known.select(F.col("v").alias("b"), F.col("content").alias("y")), "b")
-
-        def verify(batches):
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    most = int(allowed(min(len(x), len(y))))
-                    keep.append(edit_distance(x, y, most) <= most)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return met.mapInArrow(verify, "a long, b long")
-
-    return confirm
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line, root, first_id, first_line``: every line and its class's first occurrence."""
     roots = _links(docs)
