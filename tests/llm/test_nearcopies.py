@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tracelake.llm import components, nearcopies, queries
+from tracelake.llm.common import written
 
 SF = "/root/testdata/sf0.01"
 
@@ -107,6 +108,55 @@ def test_sets_too_large_for_one_task_are_compared_alike(spark, monkeypatch):
     test_chains_and_groups_without_an_original(spark, 32)
 
 
+def _family(copies):
+    """Copies of one text of 300 words with 16 edits each: they meet in groups, but no two are linked; and two that are."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 5))
+    base = [word() for _ in range(300)]
+    rows = []
+    for i in range(copies):
+        own = list(base)
+        for j in r.choice(300, 16, replace=False):
+            own[j] = word()
+        rows.append((i, " ".join(own)))
+    near = rows[-1][1].split(" ")
+    near[7] = word()
+    return [*rows, (copies, " ".join(near))]
+
+
+def test_no_pairs_of_a_large_group_are_listed(spark, monkeypatch):
+    rows, plausible, listed = _family(130), nearcopies._plausible, []
+
+    def counted(pairs, *a):
+        listed.append(pairs.count())
+        return plausible(pairs, *a)
+
+    monkeypatch.setattr(nearcopies, "_plausible", counted)
+    got = _run(spark, rows, small_group=16)
+    assert got == _brute(rows, 3, 85)
+    assert len({x[3] for x in got}) < len(rows)
+    # Pairs with centres, and those of small groups; all pairs are 8,515.
+    assert sum(listed) < 3000
+
+
+@pytest.mark.parametrize("most", [1 << 24, 20_000])
+def test_large_groups_are_compared_whole_or_by_parts(spark, monkeypatch, most):
+    exhausted = nearcopies._exhausted
+    monkeypatch.setattr(nearcopies, "_exhausted", lambda *a: exhausted(*a, most_bytes=most))
+    rows = _family(40)
+    assert _run(spark, rows, small_group=4) == _brute(rows, 3, 85)
+    test_chains_and_groups_without_an_original(spark, 2)
+
+
+def test_what_many_tasks_compare_is_written_in_few_files(spark):
+    nodes = spark.range(400).selectExpr("id as v", "1L as n", "cast('x' as binary) as value")
+    pairs = spark.range(0, 400, 2).selectExpr("id as a", "id + 1 as b", "id as near")
+    ends = pairs.select("near", pairs["a"].alias("v")).union(pairs.select("near", pairs["b"].alias("v"))).join(nodes, "v")
+    kept = written(nearcopies._compared(pairs, ends, lambda x, y: np.ones(len(x), bool)), "kept")
+    assert kept.count() == 200
+    assert len(kept.inputFiles()) <= 4
+
+
 def test_estimates_are_near_the_truth():
     r = np.random.default_rng(9)
     for n, j in ((2000, 0.85), (500, 0.5), (4000, 0.95)):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shared_dir, written
+from tracelake.llm.common import written
 
-SMALL_GROUP, CENTRES = 1024, 512
+#: Members of a group whose pairs are listed, and of a part of a group that is compared with its centre.
+SMALL_GROUP, PART = 64, 1024
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -47,63 +48,51 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def grouped_components(members: DataFrame, confirm, may_link, small_group: int = SMALL_GROUP, centres: int = CENTRES) -> DataFrame:
-    """``node, root`` of the links that ``confirm`` finds between members of one group.
+def grouped_components(members: DataFrame, confirm, may_link, exhaust, small_group: int = SMALL_GROUP) -> DataFrame:
+    """``node, root`` of the links between members of one group.
 
     ``members`` (``meet, v, mark``, a written table) says which nodes meet in which groups,
     and gives each a small mark; ``may_link`` is a cheap predicate on two marks, ``confirm``
     takes pairs ``a, b, near`` and returns those ``a, b`` that are links. Pairs of equal ``near``
-    come from one group and have ``small_group + centres`` nodes at most, so that what is to be
-    compared can be sent there once a node instead of once a pair. No group's
-    pairs are all listed: first every member is compared with the group's centre,
+    come from one group and have few nodes, so that what is to be compared can be sent there once
+    a node instead of once a pair. First every member is compared with the group's centre,
     which is the member that meets most others. Where a group still holds several
-    components, small groups compare members across components and larger ones
-    take their next ``centres`` members as centres, round after round, until no group has an
-    uncompared pair across components; so the components are those of all links.
+    components, small groups compare members across components, pair by pair, and larger ones
+    go to ``exhaust``, which takes ``meet, v, root, mark`` and returns links ``a, b`` that join
+    all those components of a group between which it has a link; no pairs of theirs are listed.
+    So the components are those of all links.
     """
     sizes = members.groupBy("meet").agg(F.count("*").alias("size"))
     sized = written(members.join(sizes, "meet"), "sized")
     weights = sized.groupBy("v").agg(F.sum("size").alias("weight"))
-    spark, seen, linked = members.sparkSession, [], []
+    spark = members.sparkSession
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def stored(df, paths):
-        paths.append(shared_dir(spark, "round"))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
-    # Groups that may still hold an uncompared pair across components; only these are looked at again.
-    left = sized.join(weights, "v").withColumn("fresh", F.lit(True))
-    roots = compared = None
-    while True:
-        now = left.withColumn("root", F.col("v")) if roots is None else left.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        if roots is None:
-            active = written(now, "active")
-        else:
-            mixed = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("fresh").alias("fresh")).where((F.col("low") < F.col("high")) & (F.col("fresh") > 0))
-            active = written(now.join(mixed.select("meet"), "meet", "left_semi"), "active")
-        if not active.take(1):
-            return roots if roots is not None else active.select(F.col("v").alias("node"), "root")
-        # In the first round every group has one centre; later, small groups are exhausted at once and larger ones take several.
-        large, most = (active, 1) if roots is None else (active.where(F.col("size") > small_group), centres)
-        order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
-        heads = large.where("fresh").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("meet", F.col("v").alias("centre"), F.col("root").alias("own"), F.col("mark").alias("m"))
-        heads = written(heads, "centres")
-        part = F.xxhash64("meet", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / small_group)))
-        pairs = large.join(heads, "meet").where((F.col("root") != F.col("own")) & may_link(F.col("mark"), F.col("m"))).select("centre", "v", "size", part.alias("near"))
-        if roots is not None:
-            # A stated number of tasks: few bytes make many comparisons, and the adaptive planner goes by bytes.
-            small = active.where(F.col("size") <= small_group).repartition(tasks, "meet")
-            other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
-            pairs = pairs.union(small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m"))).select("v", "w", "size", "meet"))
-        # A pair that meets in several groups is compared in the largest, where most others are.
-        pairs = pairs.toDF("a", "b", "size", "near").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct("size", "near"))["near"].alias("near"))
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        # Earlier rounds are read again as files, so that plans do not grow with the rounds.
-        pairs = stored(pairs, seen)
-        compared = spark.read.parquet(*seen).select("a", "b")
-        rest = large.join(heads.select("meet", F.col("centre").alias("v"), F.lit(True).alias("used")), ["meet", "v"], "left")
-        left = rest.withColumn("fresh", F.col("fresh") & F.col("used").isNull()).select(*members.columns, "size", "weight", "fresh")
-        if stored(confirm(pairs), linked).take(1) or roots is None:
-            roots = written(components(spark.read.parquet(*linked)), "roots")
+    def listed(pairs):
+        """A pair that meets in several groups is compared in the largest, where most others are."""
+        return pairs.toDF("a", "b", "size", "near").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.struct("size", "near"))["near"].alias("near"))
+
+    order = Window.partitionBy("meet").orderBy(F.desc("weight"), "v")
+    heads = sized.join(weights, "v").withColumn("place", F.row_number().over(order)).where(F.col("place") == 1)
+    heads = written(heads.select("meet", F.col("v").alias("centre"), F.col("mark").alias("m")), "centres")
+    part = F.xxhash64("meet", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / PART)))
+    first = sized.join(heads, "meet").where((F.col("v") != F.col("centre")) & may_link(F.col("mark"), F.col("m")))
+    compared = written(listed(first.select("centre", "v", "size", part.alias("near"))), "pairs")
+    linked = written(confirm(compared), "linked")
+    roots = written(components(linked), "roots")
+
+    # In a group of two nothing is left to compare.
+    now = sized.where(F.col("size") > 2).join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    mixed = now.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
+    active = written(now.join(mixed.select("meet"), "meet", "left_semi"), "active")
+    if not active.take(1):
+        return roots
+    # A stated number of tasks: few bytes make many comparisons, and the adaptive planner goes by bytes.
+    small = active.where(F.col("size") <= small_group).repartition(tasks, "meet")
+    other = small.select("meet", F.col("v").alias("w"), F.col("root").alias("root_w"), F.col("mark").alias("m"))
+    pairs = small.join(other, "meet").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("root_w")) & may_link(F.col("mark"), F.col("m")))
+    pairs = written(listed(pairs.select("v", "w", "size", "meet")).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    further = written(confirm(pairs), "linked")
+    large = active.where(F.col("size") > small_group)
+    joined = written(exhaust(large.select("meet", "v", "root", "mark")), "linked") if large.take(1) else further
+    return written(components(linked.union(further).union(joined)), "roots")

@@ -13,10 +13,12 @@ above; then the full sets decide.
 Representatives in one band's group are not paired with each other. Each is
 compared with the group's centre, the member that shares most groups with
 others (of edited copies, the original). Links join components; where a group
-still holds several components, small groups compare members across components,
-and larger ones take their next member as centre, round after round, until no
-group has an uncompared pair across components. So no path between documents
-is lost, and a group that hangs together costs one comparison a member.
+still holds several components, small groups compare members across components
+pair by pair. Of larger ones the full sets go to a task (parts of them to a task
+for each two parts, if they are many bytes), which counts what all members have
+in common with each other as a product of matrices and gives links that join its
+components. So no path between documents is lost, a group that hangs together
+costs one comparison a member, and no pairs of a large group are listed.
 
 Registers and sets go to where a group's pairs are compared, once for each of its
 members instead of once for each pair.
@@ -43,8 +45,8 @@ from tracelake.llm.components import SMALL_GROUP, grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
 EMPTY = 0xFFFF
-#: Bytes of sets that a task holds for one group's comparisons.
-NEAR_BYTES = 1 << 26
+#: Bytes of sets that a task holds for one group's comparisons, and of a group whose members are compared all at once.
+NEAR_BYTES, GROUP_BYTES = 1 << 26, 1 << 24
 _CHUNK = 1 << 20
 
 _r = np.random.default_rng(123456789)
@@ -235,7 +237,8 @@ def _compared(pairs: DataFrame, ends: DataFrame, decide) -> DataFrame:
                 if len(keep):
                     yield pa.RecordBatch.from_pydict({"a": x[keep], "b": y[keep], "near": np.full(len(keep), now, np.int64)})
 
-    return met.mapInArrow(run, "a long, b long, near long")
+    # Many tasks, but few files: each file that is written costs some processes.
+    return met.mapInArrow(run, "a long, b long, near long").hint("rebalance")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -306,6 +309,88 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, pe
     return found.union(met.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
 
+def _joining(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places of sets that meet the threshold, enough to join all components between which any do."""
+    size, m = np.array([len(x) for x in sets], np.int64), len(sets)
+    # The members outside of the largest component are compared with all.
+    roots = np.unique(roots, return_inverse=True)[1]
+    rows = np.flatnonzero(roots != np.bincount(roots).argmax())
+    if not len(rows):
+        return []
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    owner, values = np.repeat(np.arange(m, dtype=np.int32), size)[order], values[order]
+    # What one member alone has is in common with none.
+    new = np.append(True, values[1:] != values[:-1])
+    shared = ~(new & np.append(new[1:], True))
+    owner, column = owner[shared], np.cumsum(new[shared]) - 1
+    kind = np.float32 if size.max() < 1 << 24 else np.float64
+    width, height, out = max(1, (1 << 22) // m), max(1, (1 << 21) // m), []
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
+    for i in range(0, len(rows), height):
+        some = rows[i : i + height]
+        common = np.zeros((len(some), m), kind)
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            held = np.zeros((m, min(width, int(column[hi - 1]) + 1 - k * width)), kind)
+            held[owner[lo:hi], column[lo:hi] - k * width] = 1
+            common += held[some] @ held.T
+        linked = (100.0 + percent) * common >= percent * (size[some, None] + size[None, :]).astype(np.float64)
+        x, y = np.nonzero(linked & (roots[some][:, None] != roots[None, :]))
+        x = some[x]
+        # One link for each two components, as long as they are not joined.
+        first = np.unique(np.minimum(roots[x], roots[y]) * (m + 1) + np.maximum(roots[x], roots[y]), return_index=True)[1]
+        parent = np.arange(m)
+        for a, b in zip(x[first].tolist(), y[first].tolist()):
+            p, q = roots[a], roots[b]
+            while parent[p] != p:
+                parent[p] = p = parent[parent[p]]
+            while parent[q] != q:
+                parent[q] = q = parent[parent[q]]
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        roots = parent[roots]
+    return out
+
+
+def _exhausted(groups: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Links ``a, b`` that join all components of a group (``meet, v, root, mark``) between which it has any."""
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Groups of many bytes: each two parts meet in a task, and with them the members of either.
+    total = groups.groupBy("meet").agg(F.sum("mark.n").alias("total"))
+    parts = F.when(8 * F.col("total") <= most_bytes, 1).otherwise(F.ceil(16 * F.col("total") / most_bytes)).cast("int")
+    placed = groups.join(total, "meet").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("v"), "parts").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where((F.col("own") != F.col("other")) | (F.col("parts") == 1))
+    near = F.xxhash64("meet", F.least("own", "other"), F.greatest("own", "other")).alias("near")
+    needed = written(met.select(near, "v", "root").join(classes.select("v", "print", "doc_id"), "v"), "needed")
+    rows = _sets(docs, needed, width).select("near", "v", "root", "value").repartition(tasks, "near").sortWithinPartitions("near")
+
+    def run(batches):
+        now, v, roots, sets = None, [], [], []
+
+        def links():
+            found = _joining(sets, np.array(roots), percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([v[x[i]] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            near, values = batch.column("near").to_numpy(), batch.column("value")
+            edges = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(near)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if near[lo] != now:
+                    yield links()
+                    now, v, roots, sets = near[lo], [], [], []
+                v += batch.column("v")[lo:hi].to_pylist()
+                roots += batch.column("root")[lo:hi].to_pylist()
+                sets += [np.frombuffer(values[i].as_py(), np.uint64) for i in range(lo, hi)]
+        yield links()
+
+    return rows.mapInArrow(run, "a long, b long").hint("rebalance")
+
+
 def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = SMALL_GROUP) -> DataFrame:
     """``doc_id, text_key, n_shingles, print, component_id, first`` of every document.
 
@@ -320,12 +405,15 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int =
     def confirm(pairs):
         return _links(written(_plausible(pairs, classes, percent), "plausible"), docs, classes, width, percent)
 
+    def exhaust(groups):
+        return _exhausted(groups, docs, classes, width, percent)
+
     # One sort by key serves both neighbours: a class stays where another one has the same key.
     by_key = Window.partitionBy("meet").orderBy("v")
     bands = _bands(classes).withColumn("before", F.lag("v").over(by_key)).withColumn("after", F.lead("v").over(by_key))
     met = bands.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("meet", "v")
     members = met.join(classes.select("v", F.struct("n", "b0", "b1").alias("mark")), "v").select("meet", "v", "mark")
-    roots = grouped_components(written(members, "members"), confirm, _may_link(percent), small_group)
+    roots = grouped_components(written(members, "members"), confirm, _may_link(percent), exhaust, small_group)
     vertex = classes.select("print", "doc_id", "v")
     rooted = vertex.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = written(rooted.select("print", "doc_id", "root"), "rooted")
