@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,37 @@ def slices(lengths: list[int], most: int):
         held += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+#: What lets go of tables that operators keep in a Python worker from task to task.
+TABLES: list = []
+
+
+def returned() -> None:
+    """Gives memory that is not in use back to the system, which a worker would keep for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def dropped() -> None:
+    """Lets go of all that operators keep in this worker."""
+    for drop in TABLES:
+        drop()
+
+
+def lean(run):
+    """``run``, a function on batches, in a worker that holds no operator's tables meanwhile and no memory for it afterwards.
+
+    Workers outlive tasks and stages, and count with their executor.
+    """
+
+    def leaner(batches):
+        dropped()
+        try:
+            yield from run(batches)
+        finally:
+            returned()
+
+    return leaner

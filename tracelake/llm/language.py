@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import slices
+from tracelake.llm.common import lean, slices
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SAMPLE_PER_LANGUAGE, EPOCHS, RATE, SEED = 600, 6, 0.5, 20240
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "held_out", "lang_pred", "score", "accepted"]
     slim = docs.select("doc_id", held_out().alias("held_out"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return slim.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             accepted = [ok for _, _, ok in model.predict(batch.column("text").to_pylist())]
             yield batch.filter(pa.array(accepted, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

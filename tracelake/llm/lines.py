@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mix64, slices, written
+from tracelake.llm.common import lean, mix64, slices, written
 from tracelake.llm.components import components
 
 #: Shortest and longest length of a pair's shorter line, and the grams such pairs meet on.
@@ -681,7 +681,7 @@ def _spread(docs: DataFrame, starts: np.ndarray, parts: np.ndarray) -> DataFrame
         if pending:
             yield from flush(list(pending))
 
-    return docs.select("text").mapInArrow(run, "cell int, visitor boolean, bytes int, data binary")
+    return docs.select("text").mapInArrow(lean(run), "cell int, visitor boolean, bytes int, data binary")
 
 
 def _links(docs: DataFrame) -> DataFrame:
@@ -733,7 +733,7 @@ def _links(docs: DataFrame) -> DataFrame:
             yield from visited()
 
     met = _spread(docs, starts, parts).repartitionById(int(parts.sum()), F.col("cell")).sortWithinPartitions("visitor")
-    links = written(met.mapInArrow(run, "a long, b long"), "links")
+    links = written(met.mapInArrow(lean(run), "a long, b long"), "links")
     # What has been written needs its shuffle no more; it is deleted when the driver's objects are.
     docs.sparkSession.sparkContext._jvm.System.gc()
     return components(links)
@@ -752,7 +752,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("text_key").take(owner), pa.array(numbers, pa.int32()), pa.array(v), pa.array(lines, pa.string())], ["doc_id", "text_key", "line", "v", "content"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, line int, v long, content string").withColumn("w", F.xxhash64("content")).drop("content")
+    return keyed.mapInArrow(lean(run), f"doc_id {kind}, text_key long, line int, v long, content string").withColumn("w", F.xxhash64("content")).drop("content")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -804,4 +804,4 @@ def clean(docs: DataFrame) -> DataFrame:
                 keep.append(not lines or bool(text.strip()))
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_gone"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(lean(run), docs.schema)

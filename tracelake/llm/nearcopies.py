@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import FILTER_BITS, id_filter, mix64, slices, written
+from tracelake.llm.common import FILTER_BITS, id_filter, lean, mix64, slices, written
 from tracelake.llm.components import SMALL_GROUP, grouped_components
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 128, 4, 10, 6
@@ -169,7 +169,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             bits = np.array([marks(r) for r in registers], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets)], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "text_key", "n", "print", "registers", "b0", "b1"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, n long, print binary, registers binary, b0 long, b1 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(run), f"doc_id {kind}, text_key long, n long, print binary, registers binary, b0 long, b1 long")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["own_id", "own_print", "value"])
 
     hashed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    found = hashed.mapInArrow(run, f"own_id {kind}, own_print binary, value binary")
+    found = hashed.mapInArrow(lean(run), f"own_id {kind}, own_print binary, value binary")
     return needed.join(found, (F.col("print") == F.col("own_print")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).drop("own_id", "own_print")
 
 
@@ -388,7 +388,7 @@ def _exhausted(groups: DataFrame, docs: DataFrame, classes: DataFrame, width: in
                 sets += [np.frombuffer(values[i].as_py(), np.uint64) for i in range(lo, hi)]
         yield links()
 
-    return rows.mapInArrow(run, "a long, b long").hint("rebalance")
+    return rows.mapInArrow(lean(run), "a long, b long").hint("rebalance")
 
 
 def find(docs: DataFrame, width: int = 5, percent: int = 80, small_group: int = SMALL_GROUP) -> DataFrame:

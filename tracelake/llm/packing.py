@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import TABLES, returned
+
 CAPACITY, GROUP, END, SEED = 1024, 4096, 0, 977
 #: Chunks whose ids a task remembers; beyond it they are looked up again.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 250_000
 LONGEST_CHUNK = 64
 SPECIAL = "<|endoftext|>"
 
@@ -94,6 +96,9 @@ def shared_ids(path: str, ranks_path: str | None, pattern: str | None) -> Ids:
     return Ids(path, ranks_path, pattern)
 
 
+TABLES.append(shared_ids.cache_clear)
+
+
 class Tournament:
     """Free space of bins in a complete binary tree; each node holds the most free below it."""
 
@@ -162,6 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
                     rows.append((i, start, stop - start, zlib.crc32(memoryview(ids)[4 * start : 4 * stop]), n, picks[i]))
             owner, *columns = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], names)
+        returned()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pick"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_PIECES}")
