@@ -235,3 +235,9 @@ def test_cells_in_parts_lose_no_link(spark, monkeypatch):
         rows += [(3 * i, line), (3 * i + 1, _edited(r, line, 2)), (3 * i + 2, _edited(r, line, 3))]
     got = _run(spark, rows)
     assert got == _brute(rows) and sum(kept == 0 for _, _, kept, _ in got) > 60
+
+
+def test_links_of_a_cell_are_stars():
+    chain = np.arange(10, 60)
+    a, b = lines._stars(np.append(chain[:-1], [100, 7]), np.append(chain[1:], [101, 7]))
+    assert dict(zip(a.tolist(), b.tolist())) == {**{i: 10 for i in range(11, 60)}, 101: 100}

@@ -623,6 +623,24 @@ class _Cell:
         self.parent = parent[: len(home.lines)]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes, each to the least it reaches: chains would take more rounds to settle."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for p, q in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        while parent[q] != q:
+            parent[q] = q = parent[parent[q]]
+        parent[max(p, q)] = min(p, q)
+    # Parents are less than their children, so one pass settles all.
+    for i, p in enumerate(parent):
+        parent[i] = parent[p]
+    root = np.array(parent, np.int64)
+    apart = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[apart], nodes[root[apart]]
+
+
 def _cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The least length of each class of lengths, and in how many parts its lines lie: cells of some ``BUCKET`` characters.
 
@@ -694,11 +712,12 @@ def _links(docs: DataFrame) -> DataFrame:
         home, guests, held, cell, state = set(), set(), 0, 0, None
 
         def rows(found, lines):
-            pairs = list(found)
+            pairs, parts = list(found), []
             for i in range(0, len(pairs), 1 << 12):
                 own, other = ([x[k] for x in pairs[i : i + (1 << 12)]] for k in (0, 1))
-                ids = [np.concatenate([_ids(x[lo:hi]) for lo, hi in slices([len(y) for y in x], _CHUNK)]) for x in ([lines[k] for k in own], [state.home.lines[k] for k in other])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ids], ["a", "b"])
+                parts.append([np.concatenate([_ids(x[lo:hi]) for lo, hi in slices([len(y) for y in x], _CHUNK)]) for x in ([lines[k] for k in own], [state.home.lines[k] for k in other])])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(*map(np.concatenate, zip(*parts)))], ["a", "b"])
 
         def opened():
             nonlocal state, home
