@@ -46,8 +46,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 17
 #: Characters of distinct lines that are sent together, and of the lines of a cell; lines of a cell that a line may meet under one key before those of narrower keys are joined.
 CHUNK, BUCKET, CROWD = 1 << 23, 20_000_000, 1024
-#: Lines that visit a cell at once; edits beyond which pairs are compared one by one.
-VISITORS, WIDE = 1 << 16, 250
+#: Lines that visit a cell at once; diagonals and characters of pairs that are compared at once; words of a line that are compared at once.
+VISITORS, PLACES, PAIRED, RUN = 1 << 16, 1 << 16, 1 << 21, 64
 _K1, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 _MIXED, _powers = mix64(np.arange(1 << 14, dtype=np.uint64) + _K3), np.ones(1, np.uint64)
 
@@ -58,7 +58,7 @@ def allowed(length):
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or ``most + 1`` if it is greater.
+    """Levenshtein distance, or ``most + 1`` if it is greater, of one pair; queries take ``_within``, which tests hold against this.
 
     A common start and end are cut off. Up to ``FEW`` edits are found by the furthest place
     that each number of edits reaches on each diagonal; the rest is the bit-parallel recurrence
@@ -448,81 +448,114 @@ def _ranges(start: np.ndarray, width: np.ndarray):
         yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(width[a:b]) - width[a:b], width[a:b])
 
 
-def _within(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Whether the lines of each pair, the shorter first, have no more than the allowed edits.
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
-    The table's cells near the diagonal are filled for many pairs at once, one antidiagonal after the other.
-    """
+
+def _within(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether the lines of each pair, the shorter first, have no more than the allowed edits."""
     n, m = (np.array([len(x[i]) for x in pairs], np.int64) for i in (0, 1))
     most, out = allowed(n), np.zeros(len(pairs), bool)
-    order = np.argsort(n + m)
-    for i in order[most[order] > WIDE].tolist():
-        out[i] = edit_distance(*pairs[i], int(most[i])) <= most[i]
-    order = order[(most[order] <= WIDE) & (m[order] - n[order] <= most[order])]
-    for lo, hi in slices((n[order] + m[order]).tolist(), 1 << 21):
+    order = np.argsort(most, kind="stable")
+    order = order[m[order] - n[order] <= most[order]]
+    for lo, hi in _batches(most[order].tolist(), (n[order] + m[order]).tolist()):
         some = order[lo:hi]
-        out[some] = _band([pairs[i] for i in some.tolist()], n[some], m[some], most[some])
+        out[some] = _reached([pairs[i] for i in some.tolist()], n[some], m[some], most[some])
     return out
 
 
-def _band(pairs, n, m, most) -> np.ndarray:
-    t, size = int(most.max()), int(max(n.max(), m.max()))
-    both = [np.frombuffer("".join(x[i] for x in pairs).encode("utf-32-le", "surrogatepass"), np.uint32) for i in (0, 1)]
-    if max(int(x.max()) for x in both) > 255:
+def _batches(most: list[int], chars: list[int]):
+    """Ranges of pairs, in order of the edits allowed, that have ``PLACES`` diagonals and ``PAIRED`` characters at most, or one pair."""
+    start, held = 0, 0
+    for i, (t, n) in enumerate(zip(most, chars)):
+        # All pairs of a batch take as many diagonals as its last one.
+        if i > start and ((t + 1) * (i - start + 1) > PLACES or held + n > PAIRED):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(most):
+        yield start, len(most)
+
+
+def _codes(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+    """The characters of the pairs' first lines, one line after the other, and of their second ones, in a byte each if that can be."""
+    texts = ["".join(x[i] for x in pairs) for i in (0, 1)]
+    try:
+        both = [np.frombuffer(x.encode("latin-1"), np.uint8) for x in texts]
+    except UnicodeEncodeError:
+        both = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
         seen = np.zeros(0x110000, bool)
         for x in both:
             seen[x] = True
-        codes = np.cumsum(seen)
-        both = [codes[x] for x in both]
-    kind = np.uint8 if max(int(x.max()) for x in both) < 256 else np.uint32
-    grids = []
-    for points, length in zip(both, (n, m)):
-        # What lies beyond a line's ends is never read back.
-        grid = np.zeros((size + 2 * t + 4, len(pairs)), kind)
-        grid[np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length) + t + 1, np.repeat(np.arange(len(pairs)), length)] = points
-        grids.append(grid)
-    a, b = grids[0], np.ascontiguousarray(grids[1][::-1])
-    last = len(b) - 1
-    kind, far = (np.uint8, 250) if t < 120 else (np.uint16, 60000)
-    # Row k of an antidiagonal s holds cell (i, s - i) with i - (s - i) = 2 k - t (even ones of s + t) or 2 k - t + 1 (odd ones).
-    out, own, n, m, most = np.zeros(len(pairs), bool), np.arange(len(pairs)), n.copy(), m.copy(), most.copy()
-    before = np.full((t + 1, len(pairs)), far, kind)
-    now = np.full((t + 1, len(pairs)), far, kind)
-    now[t // 2] = 0
-    end = n + m
-    for s in range(1, int(end.max()) + 1):
-        odd = (s + t) % 2
-        # Cells above and left lie on the antidiagonal before, at rows k - 1 + odd and k + odd; diagonal ones two before, at row k.
-        low = (s - t + odd) // 2
-        new = np.empty_like(now)
-        if odd:
-            np.minimum(now[:-1], now[1:], out=new[:-1])
-            new[-1] = now[-1]
+        if seen.sum() <= 256:
+            codes = (np.cumsum(seen) - 1).astype(np.uint8)
+            both = [codes[x] for x in both]
+    # What lies behind the end is read, but not counted.
+    return [np.append(x, np.zeros(8 * RUN + 8, x.dtype)) for x in both]
+
+
+def _reached(pairs, n, m, most) -> np.ndarray:
+    """``_within`` for some pairs at once.
+
+    For each number of edits, the furthest place in the shorter line is known on each diagonal (the characters that the
+    longer line is ahead); only those diagonals count from which the edits left lead to both lines' ends. From there
+    it is carried on over what follows alike in both lines.
+    """
+    a, b = _codes(pairs)
+    per = 8 // a.itemsize
+    words = [np.ndarray(len(x) - 8, np.uint64, x, strides=x.strides) for x in (a, b)]
+    shift = np.uint8(7 - per.bit_length())
+    begin, goal = np.cumsum(n) - n, m - n
+    out, own = np.zeros(len(pairs), bool), np.arange(len(pairs))
+    # Row r holds diagonal r - under. Places count from the start of the first of all lines.
+    under = int(((most - goal) // 2).max()) + 1
+    rows = under + int(((most + goal) // 2).max()) + 2
+    ahead = np.arange(rows)[:, None] - under
+    other = np.cumsum(m) - m - begin + ahead
+    end = begin + np.minimum(n, m - ahead)
+    last = begin + n
+    reach = np.full((rows, len(pairs)), -(1 << 40))
+    for edits in range(int(most.max()) + 1):
+        left = most - edits
+        lo = max(1, under + max(-edits, int((goal - left).min())))
+        hi = min(rows - 1, under + min(edits, int((goal + left).max())) + 1)
+        at = slice(lo, hi)
+        if edits:
+            place = np.maximum(reach[at], reach[lo + 1 : hi + 1])
+            place += 1
+            np.maximum(place, reach[lo - 1 : hi - 1], out=place)
+            np.minimum(place, end[at], out=place)
         else:
-            np.minimum(now[:-1], now[1:], out=new[1:])
-            new[0] = now[0]
-        new += 1
-        # Places of characters: i - 1 in a and s - i - 1 in b, behind t + 1 marks.
-        i, j = low + t, last - (s - low + t)
-        unlike = a[i : i + t + 1] != b[j : j + t + 1]
-        np.minimum(new, before + unlike, out=new)
-        np.minimum(new, far, out=new)
-        # Cells outside of the table.
-        if low < 0:
-            new[:-low] = far
-        if low + t > s:
-            new[s - low + 1 :] = far
-        before, now = now, new
-        ends = np.flatnonzero(end == s)
-        if len(ends):
-            out[own[ends]] = now[n[ends] - low, ends] <= most[ends]
-        if s % 64 == 0:
-            alive = (end > s) & (np.minimum(now.min(0), before.min(0)) <= most)
-            if not alive.any():
-                break
-            if alive.sum() < 0.7 * len(alive):
-                a, b, before, now = (np.ascontiguousarray(x[:, alive]) for x in (a, b, before, now))
-                own, n, m, most, end = (x[alive] for x in (own, n, m, most, end))
+            place = begin[None].copy()
+        place, beside, stop = place.ravel(), (place + other[at]).ravel(), end[at].ravel()
+        which, size = np.flatnonzero(a.take(place) == b.take(beside)), 1
+        while len(which):
+            i, j = place[which], beside[which]
+            if size == 1:
+                x = words[0][i] ^ words[1][j]
+                far = i
+            else:
+                steps = per * np.arange(size)
+                x = words[0][i[:, None] + steps] ^ words[1][j[:, None] + steps]
+                unlike = x != 0
+                k = np.where(unlike.any(1), unlike.argmax(1), size - 1)
+                x, far = x[np.arange(len(k)), k], i + per * k
+            # The lowest set bit is in the first character that differs.
+            far = np.minimum(far + (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> shift), stop[which])
+            place[which] = far
+            beside[which] = j + (far - i)
+            which, size = which[(x == 0) & (far < stop[which])], min(4 * size, RUN)
+        reach[at] = place.reshape(hi - lo, -1)
+        done = (reach[under + goal, np.arange(len(own))] >= last) & (most >= edits)
+        out[own[done]] = True
+        alive = ~done & (most > edits)
+        count = np.count_nonzero(alive)
+        if not count:
+            break
+        if count < 0.8 * len(own):
+            most, goal, own, last = (x[alive] for x in (most, goal, own, last))
+            reach, other, end = (np.ascontiguousarray(x[:, alive]) for x in (reach, other, end))
     return out
 
 
@@ -534,8 +567,17 @@ class _Cell:
         self.bits, self.shift, self.whole = max(len(lines), VISITORS).bit_length(), max(0, self.longest.bit_length() - 15), whole
         self.home = _Filed(sorted(lines, key=len), whole, self.bits, self.shift)
         self.parent = np.arange(len(lines))
-        self.table = np.zeros(1 << 22, bool)
-        self.table[self.home.key() & np.uint64((1 << 22) - 1)] = True
+        # Bits by the highest bits of keys, so that grams in order read them in order.
+        self.fold = np.uint64(max(22, self.bits))
+        self.table = np.zeros(1 << (46 - int(self.fold)), np.uint8)
+        for i in range(0, len(self.home.both), _CHUNK):
+            byte, bit = self._places(self.home.both[i : i + _CHUNK])
+            head = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+            self.table[byte[head]] |= np.bitwise_or.reduceat(bit, head)
+
+    def _places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = (grams >> self.fold).astype(np.int64)
+        return key >> 3, np.left_shift(np.uint8(1), (key & 7).astype(np.uint8))
 
     def inner(self):
         both = self.home.both
@@ -545,7 +587,8 @@ class _Cell:
     def visit(self, lines: list[str]):
         """``lines`` are in order of length and no longer than the home's longest."""
         guests = _Filed(lines, self.whole, self.bits, self.shift)
-        yield from self._links(guests, np.flatnonzero(self.table[guests.key() & np.uint64((1 << 22) - 1)]), False)
+        byte, bit = self._places(guests.both)
+        yield from self._links(guests, np.flatnonzero(self.table[byte] & bit), False)
 
     def _links(self, guests: _Filed, at: np.ndarray, own: bool):
         """Pairs of a guest and a longer (or equally long) line of the home that are linked, until all roots are joined."""
@@ -578,7 +621,7 @@ class _Cell:
         def looked(x, y):
             """Links of guests ``x`` and lines ``y`` whose roots differ, some of each guest at a time."""
             nonlocal tried
-            pairs = np.unique(x << 32 | y)
+            pairs = _distinct(x << 32 | y)
             if len(tried):
                 pairs = pairs[tried[np.minimum(np.searchsorted(tried, pairs), len(tried) - 1)] != pairs]
             x, y = pairs >> 32, pairs & 0xFFFFFFFF
@@ -597,13 +640,13 @@ class _Cell:
                     if p != q:
                         parent[max(p, q)] = min(p, q)
                         yield i, j
-                tried = np.union1d(tried, (x[take] << 32 | y[take])[~linked])
+                tried = _distinct(np.append(tried, (x[take] << 32 | y[take])[~linked]))
                 roots = settled()
                 rest = ~take & (roots[base + x] != roots[y])
                 x, y, some = x[rest], y[rest], 2 * some
 
         wide = width > CROWD
-        crowded = np.unique(line[wide])
+        crowded = _distinct(line[wide])
         # Where keys let more pairs meet than there are, all lines near in length are looked at instead.
         by_line = int((after - first)[crowded].sum()) < int(width[wide].sum())
         for which in (~wide, wide if not by_line else np.zeros(len(wide), bool)):
