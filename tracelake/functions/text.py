@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Breaks are CRLF, LF and a lone CR; the Unicode separators, VT and FF are none.
-LINE_BREAK = r"(?<=\n)|(?<=\r)(?!\n)"
-WORD = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"
+WORD = r"[a-zA-Z0-9\p{L}\p{N}]++(?:_[a-zA-Z0-9\p{L}\p{N}]++)*+"
+#: A line with its break. Breaks are CRLF, LF and a lone CR; the Unicode separators, VT and FF are none.
+LINE = r"[^\n\r]*+(?:\r\n|\n|\r)|[^\n\r]++"
 #: Also what ``\s`` lacks: the four information separators.
 BLANK = r"^[\s\p{Z}\x1C-\x1F\x85]*$"
 
 
 def source_lines(text: Column) -> Column:
     """Lines with their breaks; an empty text has none, a final break adds none."""
-    return F.filter(F.split(text, LINE_BREAK), lambda x: x != "")
+    return F.regexp_extract_all(text, F.lit(LINE), 0)
 
 
 def line_count(text: Column) -> Column:
@@ -42,7 +42,9 @@ def terms(text: Column) -> Column:
         several = word.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]")
         return F.when(several & (F.size(split) > 1), F.concat(F.array(whole), split)).otherwise(F.array(whole))
 
-    return F.flatten(F.transform(words, parts))
+    # A text none of whose words has parts is lowered at once; two letters are lowered by more than themselves.
+    some = text.rlike("[_\u0130\u03a3]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]")
+    return F.when(~some, F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)).otherwise(F.flatten(F.transform(words, parts)))
 
 
 def fence_width(text: Column) -> Column:

@@ -54,17 +54,38 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(T.source_lines(F.col("text"))).alias("pos", "line")).select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+#: Parts of the paths by which repeated ones are told; as many numbers are broadcast at most.
+BUCKETS = 1 << 20
+
+
+def apart(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files whose path no other row has, and the rest, which hold some of the former too.
+
+    Texts are not shuffled to tell them: repeated paths are known by the bucket of their hash.
+    """
+    keyed = files.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)))
+    again = F.broadcast(keyed.groupBy("path", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket").distinct())
+    return keyed.join(again, "bucket", "left_anti").drop("bucket"), keyed.join(again, "bucket", "left_semi").drop("bucket")
+
+
+def once(files: DataFrame) -> DataFrame:
+    """``path, text, copies``: equal rows as one."""
+    single, several = apart(files.select("path", "text"))
+    return single.withColumn("copies", F.lit(1).cast("long")).unionByName(several.groupBy("path", "text").agg(F.count("*").alias("copies")))
+
+
 def chunks(files: DataFrame, width: int = CHUNK_LINES) -> DataFrame:
     """Windows of lines of one owner; blank ones are dropped but keep their numbers.
 
-    A chunk's id hashes the compact JSON list of its place, owner and file.
+    A chunk's id hashes the compact JSON list of its place, owner and file. ``copies`` of a file stay with its chunks.
     """
+    more = ["copies"] if "copies" in files.columns else []
     ls = T.source_lines(F.col("text"))
     n = F.size("ls")
     starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(width)))
-    cut = files.select("path", F.sha2("text", 256).alias("file_sha256"), ls.alias("ls")).select("path", "file_sha256", "ls", F.explode(starts).alias("start_line"))
+    cut = files.select("path", *more, F.sha2("text", 256).alias("file_sha256"), ls.alias("ls")).select("path", *more, "file_sha256", "ls", F.explode(starts).alias("start_line"))
     end = F.least(F.col("start_line") + width - 1, n)
-    rows = cut.select("path", "file_sha256", F.col("start_line").cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.array_join(F.slice("ls", F.col("start_line"), end - F.col("start_line") + 1), "").alias("text"))
+    rows = cut.select("path", *more, "file_sha256", F.col("start_line").cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.array_join(F.slice("ls", F.col("start_line"), end - F.col("start_line") + 1), "").alias("text"))
     return with_chunk_id(rows.where(~T.is_blank(F.col("text"))).withColumns({"symbol": F.lit("<text>"), "kind": F.lit("text")}))
 
 

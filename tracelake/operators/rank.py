@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
+from tracelake.operators import corpus
 
 K1, B, BONUS = 1.2, 0.75, 0.15
 
 
+def all_terms() -> Column:
+    """Text terms once, symbol terms twice, path terms once."""
+    return F.concat(T.terms(F.col("text")), T.terms(F.col("symbol")), T.terms(F.col("symbol")), T.terms(F.col("path")))
+
+
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """``id, term, tf``: text terms once, symbol terms twice, path terms once."""
-    all_terms = F.concat(T.terms(F.col("text")), T.terms(F.col("symbol")), T.terms(F.col("symbol")), T.terms(F.col("path")))
-    return chunks.select("id", F.explode(all_terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf`` of chunks of different ids, each of which counts as its ``copies``.
+
+    Terms are counted where their chunk is, in Arrow batches; nothing is shuffled.
+    """
+    times = F.col("copies") if "copies" in chunks.columns else F.lit(1).cast("long")
+    return chunks.select("id", times.alias("copies"), all_terms().alias("ts")).mapInArrow(_counted, "id string, term string, tf long")
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+def _counted(batches):
+    for whole in batches:
+        ends = np.cumsum(pc.list_value_length(whole.column("ts")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < whole.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 100_000)))
+            b = whole.slice(start, stop - start)
+            sizes = np.diff(ends[start:stop], prepend=ends[start - 1] if start else 0)
+            words = b.column("ts").flatten().dictionary_encode()
+            n = max(1, len(words.dictionary))
+            pair, k = np.unique(np.repeat(np.arange(b.num_rows), sizes) * n + words.indices.to_numpy(), return_counts=True)
+            row = pair // n
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), words.dictionary.take(pa.array(pair % n)), pa.array(k * b.column("copies").to_numpy()[row])], ["id", "term", "tf"])
+            start = stop
+
+
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """``term, df``: how many of the chunks, of different ids, have a term."""
+    return chunks.select(F.explode(F.array_distinct(all_terms())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -26,8 +57,7 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Lengths and counts come from all chunks. Only postings of query terms are
     shuffled on: lengths are folded into a chunk's row before its terms are exploded.
     """
-    all_terms = F.concat(T.terms(F.col("text")), T.terms(F.col("symbol")), T.terms(F.col("symbol")), T.terms(F.col("path")))
-    base = chunks.select("id", "path", "start_line", all_terms.alias("ts")).withColumn("len", F.size("ts"))
+    base = chunks.select("id", "path", "start_line", all_terms().alias("ts")).withColumn("len", F.size("ts"))
     stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).withColumn("avg_len", F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
     vocabulary = wanted.select("term").distinct()
@@ -47,11 +77,25 @@ def top(scores: DataFrame, limit: int | None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def rare_term_edges(tf: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``src, dst``: files that share a term which no third file has."""
-    files = tf.join(chunks.select("id", "path"), "id").select("term", "path").distinct()
-    pairs = files.groupBy("term").agg(F.count("*").alias("n"), F.min("path").alias("src"), F.max("path").alias("dst")).where("n = 2")
-    return pairs.select("src", "dst").distinct()
+def rare_term_edges(files: DataFrame) -> DataFrame:
+    """``src, dst``: files (``path, text``) that share a term which no third file has.
+
+    A file's terms are told apart in its own row. Files are known by a hash of their
+    path with a salt under which no two have the same, so that the least and the greatest
+    of a term's files are numbers and its rows are added up before the shuffle.
+    """
+    single, several = corpus.apart(files.select("path", "text").where(~T.is_blank(F.col("text"))))
+    paths = files.select("path").distinct()
+    for salt in count():
+        known = paths.select(F.xxhash64("path", F.lit(salt)).alias("h"), "path")
+        if not known.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").head(1):
+            break
+    own = F.array_distinct(F.concat(T.terms(F.col("text")), F.array(F.lit("text")), T.terms(F.col("path"))))
+    held = lambda df: df.select(F.xxhash64("path", F.lit(salt)).alias("h"), F.explode(own).alias("term"))
+    both = held(single).unionByName(held(several).distinct())
+    pairs = both.groupBy("term").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where("n = 2").select("a", "b").distinct()
+    named = pairs.join(known.select(F.col("h").alias("a"), F.col("path").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("path").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
 
 
 def graph_bonus(scores: DataFrame, chunks: DataFrame, edges: DataFrame, query_ids: DataFrame) -> DataFrame:

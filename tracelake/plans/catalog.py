@@ -76,6 +76,11 @@ def _files(spark, d) -> DataFrame:
     return corpus.documents_as_files(spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").isNotNull()))
 
 
+def _once(spark, d) -> DataFrame:
+    """Chunks of different ids."""
+    return corpus.chunks(corpus.once(_files(spark, d)))
+
+
 def _queries(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -115,12 +120,12 @@ def owner_islands(spark, d):
 
 @query("term_frequencies", f"WITH {_TF} SELECT id, term, tf FROM tf")
 def term_frequencies(spark, d):
-    return rank.term_frequencies(corpus.chunks(_files(spark, d)))
+    return rank.term_frequencies(_once(spark, d))
 
 
 @query("document_frequencies", f"WITH {_TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def document_frequencies(spark, d):
-    return rank.document_frequencies(rank.term_frequencies(corpus.chunks(_files(spark, d))))
+    return rank.document_frequencies(_once(spark, d))
 
 
 def _top_sql(scores: str) -> str:
@@ -138,8 +143,7 @@ both_ways AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)"""
 
 @query("rare_term_edges", f"WITH {_TF}, {_EDGES} SELECT src, dst FROM ed")
 def rare_term_edges(spark, d):
-    chunks = corpus.chunks(_files(spark, d))
-    return rank.rare_term_edges(rank.term_frequencies(chunks), chunks)
+    return rank.rare_term_edges(_files(spark, d))
 
 
 @query(
@@ -152,7 +156,7 @@ al AS (SELECT coalesce(sc.query_id, bc.query_id) AS query_id, coalesce(sc.id, bc
 )
 def graph_topk(spark, d):
     chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    edges = rank.rare_term_edges(rank.term_frequencies(chunks), chunks)
+    edges = rank.rare_term_edges(_files(spark, d))
     return rank.top(rank.graph_bonus(rank.bm25(chunks, qs), chunks, edges, qs), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
