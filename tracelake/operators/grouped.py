@@ -5,9 +5,10 @@ from __future__ import annotations
 from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import text as T
 from tracelake.functions.canonical import canonical, text_digest
 from tracelake.operators import facts, graph, pack, resolve
 
@@ -48,14 +49,21 @@ def compare_revisions(before: DataFrame, after: DataFrame, anchors: DataFrame, m
     return rows.groupBy("rev").applyInPandas(one, f"rev {kind}, id string, one_hop string, transitive string, nodes long, delta_ok boolean, complete boolean")
 
 
+def entry_bytes() -> Column:
+    """Bytes of a chunk's rendered entry (:func:`tracelake.operators.pack.render_entry`) but for the digits of its score."""
+    head = F.to_json(F.struct("id", "path", "symbol", "kind", "start_line", "end_line", "file_sha256", F.lit("0" * 64).alias("text_sha256"), F.array().cast("array<string>").alias("reasons")))
+    text = F.octet_length("text") + F.when(F.col("text").endswith("\n"), 0).otherwise(1)
+    return F.octet_length(head) + len(',"score":') + text + 2 * T.fence_width(F.col("text")) + 4
+
+
 def bundles(ranked: DataFrame, budget: int = 4000) -> DataFrame:
     """``query_id, entries, omitted, consumed, rendered_sha256`` of every query's packed bundle.
 
     ``ranked`` holds the chunk columns, ``query_id``, ``query``, ``rank`` and
-    ``score`` of all candidates. One ordered pass a query; texts that exceed the
-    budget by themselves are counted but not moved.
+    ``score`` of all candidates, or of those that could be packed with ``total``, the number of all.
+    One ordered pass a query; texts that exceed the budget by themselves are counted but not moved.
     """
-    counted = ranked.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
+    counted = ranked if "total" in ranked.columns else ranked.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
     fields = "query_id query rank score total id path symbol kind start_line end_line file_sha256 text".split()
     rows = counted.where((F.octet_length("text") <= budget) | (F.col("rank") == 1)).select(*fields)
     names = ["query_id", "entries", "omitted", "consumed", "rendered_sha256"]
