@@ -286,8 +286,7 @@ g AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAS
 SELECT query_id, array_to_string(kept, ',') AS kept, used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS r FROM g) WHERE r = 1""",
 )
 def greedy_pack(spark, d):
-    chunks = corpus.chunks(_files(spark, d))
-    ranked = rank.top(rank.bm25(chunks, _queries(spark, d)), None).join(chunks.select("id", F.octet_length("text").alias("cost")), "id")
+    ranked = rank.top(_index(spark, d).packable(8000), None).withColumn("cost", F.explode(F.expr("array_repeat(cost, cast(copies as int))")))
     return pack.greedy(ranked, "query_id", "rank", "id", "cost", 8000).select("query_id", F.array_join("kept", ",").alias("kept"), "used")
 
 
