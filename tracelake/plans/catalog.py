@@ -246,12 +246,9 @@ per AS (SELECT query_id, count(*) AS labels, count(rank) AS found, min(rank) AS
 
 
 def _retrieved(spark, d):
-    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    returned = rank.top(rank.bm25(chunks, qs), 10)
+    index = _index(spark, d)
     # A file is judged relevant if it has the question's longest term; of equals the first.
-    keyword = qs.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id").agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("term"))
-    relevant = rank.term_frequencies(chunks).join(keyword, "term").join(chunks.select("id", "path"), "id").select("query_id", "path")
-    return metrics.retrieval(returned, relevant)
+    return metrics.retrieval(rank.top(index.first(10), 10), index.relevant())
 
 
 @query("retrieval_metrics", f"WITH {_REL} SELECT query_id, round(found / labels, 8) AS recall, found > 0 AS hit, CAST(first_rank AS INTEGER) AS first_rank, round(coalesce(1 / first_rank, 0), 8) AS reciprocal_rank FROM per")
