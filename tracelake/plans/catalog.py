@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
+from tracelake.functions.tables import kept
 from tracelake.operators import corpus, diff, evaluate, grouped, metrics, pack, postings, rank, verify
 
 QUERIES: dict = {}
@@ -551,6 +552,8 @@ def seeded_order(spark, d):
 
 @query("bundle_render")
 def bundle_render(spark, d):
-    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    best = rank.top(rank.bm25(chunks, qs), None).select("query_id", "id", "rank", "score")
-    return grouped.bundles(best.join(chunks, "id").join(qs, "query_id"))
+    index = postings.Index(_once(spark, d).withColumn("cost", grouped.entry_bytes()), _queries(spark, d))
+    best = kept(rank.top(postings.narrowed(index.packable(4000, written=True), 4000), None), "bundles")
+    files = _files(spark, d).join(F.broadcast(best.select("path").distinct()), "path", "left_semi")
+    found = corpus.chunks(files).join(F.broadcast(best.select("query_id", "id", "rank", "score", "total")), "id")
+    return grouped.bundles(found.join(F.broadcast(_queries(spark, d)), "query_id"))
