@@ -160,9 +160,7 @@ al AS (SELECT coalesce(sc.query_id, bc.query_id) AS query_id, coalesce(sc.id, bc
   FROM sc FULL JOIN bc ON sc.query_id = bc.query_id AND sc.id = bc.id) {_top_sql('al')}""",
 )
 def graph_topk(spark, d):
-    chunks, qs = corpus.chunks(_files(spark, d)), _queries(spark, d)
-    edges = rank.rare_term_edges(_files(spark, d))
-    return rank.top(rank.graph_bonus(rank.bm25(chunks, qs), chunks, edges, qs), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return rank.top(_index(spark, d).linked(rank.rare_term_edges(_files(spark, d)), 10), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def _entries(spark, d):
