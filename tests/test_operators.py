@@ -67,3 +67,17 @@ def test_stream_passes_only_changes(spark, tmp_path):
     q = versions.changes(stream).writeStream.format("memory").queryName("versions").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.path, r.seq, r.before is None) for r in spark.table("versions").collect()} == {("a", 1, True), ("a", 3, False), ("b", 1, True)}
+
+
+def test_spans_of_one_id_and_different_texts_are_found_apart(spark):
+    saved = spark.createDataFrame([("e", "a", 1, 1, "x\n", ""), ("e", "a", 1, 1, "y", ""), ("f", "b", 1, 2, "x\ry", "")], "entry_id string, path string, start_line int, end_line int, text string, file_sha256 string")
+    files = spark.createDataFrame([("p", "0\nx\n"), ("q", "y"), ("r", "x\r\ny"), ("s", "z\rx\ry")], "path string, text string")
+    assert sorted(map(tuple, verify.occurrences(saved, files).collect())) == [("e", "p", 2), ("e", "q", 1), ("e", "r", 2), ("e", "s", 3), ("f", "s", 2)]
+
+
+def test_texts_are_not_joined_to_verify(spark):
+    saved = spark.createDataFrame([("e", "a", 1, 2, "x\ny\n", "")], "entry_id string, path string, start_line int, end_line int, text string, file_sha256 string")
+    files = spark.createDataFrame([("a", "0\nx\ny\n")], "path string, text string")
+    results = verify.verify(saved, files)
+    assert results.collect()[0].new_line == 2
+    assert "text#" not in results._jdf.queryExecution().optimizedPlan().toString()

@@ -201,9 +201,8 @@ def baseline_acceptors(spark, d):
 
 
 def _judged(spark, d):
-    saved, after = _entries(spark, d), _after(spark, d)
-    v = verify.verify(saved, after)
-    return v.join(verify.acceptors(saved, after), "entry_id").join(saved.select("entry_id", "path"), "entry_id").withColumn("truth", F.col("status").isin("valid", "relocated"))
+    results, accepted, _ = verify.judged(_entries(spark, d), _after(spark, d))
+    return results.join(accepted, "entry_id").withColumn("truth", F.col("status").isin("valid", "relocated"))
 
 
 _CONF = "count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp, count(*) FILTER (NOT truth AND NOT pred) AS tn, count(*) FILTER (truth AND NOT pred) AS fn"
@@ -350,7 +349,8 @@ def closure_reachability(spark, d):
 def worst_status_rollup(spark, d):
     s = F.col("status")
     dep = F.when(s == "deleted", "missing").when(s == "modified", "changed").when(s == "ambiguous", "unresolved").otherwise("unchanged")
-    return _judged(spark, d).select(F.element_at(F.split("path", "/"), 2).alias("source"), dep.alias("dep")).groupBy("source").agg(verify.worst(F.col("dep")).alias("status"))
+    results, _, spans = verify.judged(_entries(spark, d), _after(spark, d))
+    return results.join(spans, "entry_id").select(F.element_at(F.split("path", "/"), 2).alias("source"), dep.alias("dep")).groupBy("source").agg(verify.worst(F.col("dep")).alias("status"))
 
 
 @query("macro_means", "WITH p AS (SELECT source, avg(quality) AS m, sum(quality) AS s, count(quality) AS c FROM labels JOIN documents USING (doc_id) GROUP BY source) SELECT round(avg(m), 8) AS macro_mean, round(sum(s) / sum(c), 8) AS mean, count(*) AS groups FROM p")
@@ -492,8 +492,8 @@ SELECT count(*) AS samples, count(*) FILTER (ok) AS text_recoverable, count(*) F
 )
 def drift_flags(spark, d):
     """Text statuses are real; those of witnesses are drawn from the lengths of paths."""
-    saved = _entries(spark, d)
-    rows = verify.verify(saved, _after(spark, d)).join(saved.select("entry_id", F.octet_length("path").alias("k"), F.col("start_line").alias("s")), "entry_id")
+    results, _, spans = verify.judged(_entries(spark, d), _after(spark, d))
+    rows = results.join(spans.select("entry_id", F.octet_length("path").alias("k"), F.col("start_line").alias("s")), "entry_id")
     pick = lambda n: F.element_at(F.array(*map(F.lit, _DEP)), n + 1)
     k, s = F.col("k"), F.col("s")
     shown = rows.select(F.col("status").alias("source_status"), pick(k % 4).alias("dependency_status"), pick((k + s) % 3).alias("anchor_status"), F.array(pick((k + s) % 4), pick((F.floor(k / 2) % 4).cast("int"))).alias("references"))
