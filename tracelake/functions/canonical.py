@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 
+_ENCODERS = {a: json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=a, allow_nan=False) for a in (False, True)}
+
+
 def canonical(value, ascii_only: bool = False) -> str:
     """Sorted keys, no blanks; non-finite numbers are refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False)
+    return _ENCODERS[bool(ascii_only)].encode(value)
 
 
 def digest(value, ascii_only: bool = False) -> str:
